@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import frequency, leakage, lookalike, reformatted, truncation
+from vecloom.llm import clusters, frequency, leakage, lookalike, packing, reformatted, subset, truncation
 from vecloom.session import table
 
 
+VECTOR_TABLES = {"vectors_f32": "id", "dict": "word_id"}
+
+
+def _union(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for tab, df in parts.items():
+        df = df.select(F.lit(tab).alias("tab"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+# --- 1: a varied subset -----------------------------------------------------------------
+
+
+def p1_subset(spark: SparkSession, sf: str) -> DataFrame:
+    return _union({tab: subset.varied_subset(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()})
+
+
 # --- 3: frequency of every term ---------------------------------------------------------
 
 
@@ -44,20 +62,38 @@ def _p5_keyed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
-def _p5_union(parts: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for tab, df in parts.items():
-        df = df.select(F.lit(tab).alias("tab"), "*")
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _p5_union({tab: reformatted.copies_of(df) for tab, df in _p5_keyed(spark, sf).items()})
+    return _union({tab: reformatted.copies_of(df) for tab, df in _p5_keyed(spark, sf).items()})
 
 
 def p5_kept(spark: SparkSession, sf: str) -> DataFrame:
-    return _p5_union({tab: reformatted.kept_with_counts(df) for tab, df in _p5_keyed(spark, sf).items()})
+    return _union({tab: reformatted.kept_with_counts(df) for tab, df in _p5_keyed(spark, sf).items()})
+
+
+# --- 6: groups of similar vectors -------------------------------------------------------
+
+
+def _p6_groups(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {tab: clusters.similarity_groups(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()}
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _union({tab: df.where("id <> lead_id").select("lead_id", "id") for tab, df in _p6_groups(spark, sf).items()})
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _union({tab: clusters.described_groups(df) for tab, df in _p6_groups(spark, sf).items()})
+
+
+# --- 7: containers of tokens ------------------------------------------------------------
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_certificates(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.certificates(packing.packed(packing.token_counts(table(spark, sf, "documents"), "doc_id", "text")))
 
 
 # --- 8: leaked evaluation passages ------------------------------------------------------
@@ -87,7 +123,7 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"), "doc_id", "source", "text")
 
 
-QUERIES = [p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p8_found, p8_items, p9_found, p9_sources]
+QUERIES = [p1_subset, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p7_containers, p7_certificates, p8_found, p8_items, p9_found, p9_sources]
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, frequency, leakage, lookalike, packing, reformatted, subset, truncation
+from vecloom.llm import clusters, frequency, leakage, lookalike, neighbours, packing, reformatted, subset, truncation
 from vecloom.session import table
 
 
@@ -27,6 +27,17 @@ def p1_subset(spark: SparkSession, sf: str) -> DataFrame:
     return _union({tab: subset.varied_subset(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()})
 
 
+# --- 2: most similar vectors ------------------------------------------------------------
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _union({tab: neighbours.near_pairs(table(spark, sf, tab), key, "vec", within=0.003) for tab, key in VECTOR_TABLES.items()})
+
+
+def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return _union({tab: neighbours.nearest(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()})
+
+
 # --- 3: frequency of every term ---------------------------------------------------------
 
 
@@ -123,7 +134,7 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"), "doc_id", "source", "text")
 
 
-QUERIES = [p1_subset, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p7_containers, p7_certificates, p8_found, p8_items, p9_found, p9_sources]
+QUERIES = [p1_subset, p2_found, p2_nearest, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p7_containers, p7_certificates, p8_found, p8_items, p9_found, p9_sources]
 
 
 def queries() -> dict:

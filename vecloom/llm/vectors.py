@@ -38,10 +38,10 @@ def unit_rows(ids: pa.Array, vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.n
     if not len(ids):
         return np.empty(0, "i8"), np.empty((0, dim), "f4")
     x = vecs.flatten().to_numpy(zero_copy_only=False).astype("f4", copy=False).reshape(-1, dim)
-    with np.errstate(invalid="ignore", over="ignore"):
-        norm = np.sqrt(np.einsum("ij,ij->i", x.astype("f8"), x)) if len(x) and np.abs(np.nan_to_num(x)).max() > 1e15 else np.sqrt(np.einsum("ij,ij->i", x, x))
+    wide = x.astype("f8")
+    norm = np.sqrt(np.einsum("ij,ij->i", wide, wide))
     good = np.isfinite(norm) & (norm > 0)
-    return ids.to_numpy()[good], (x[good] / norm[good, None]).astype("f4")
+    return ids.to_numpy()[good], (wide[good] / norm[good, None]).astype("f4")
 
 
 def per_rows(work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None], dim: int, end: Callable[[], pa.RecordBatch | None] | None = None):

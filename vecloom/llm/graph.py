@@ -228,10 +228,10 @@ def completed(x: np.ndarray, members: int, ids: np.ndarray, sims: np.ndarray, le
         known = ids[some] != NONE
         kr, kc = np.nonzero(known & (sims[some] <= worst[:, None]))  # the comparison above leaves these out
         r, i, s = np.concatenate([r, kr]), np.concatenate([i, ids[some][kr, kc]]), np.concatenate([s, sims[some][kr, kc]])
+        _, one = np.unique(r.astype("i8") * members + i, return_index=True)  # a similarity may differ in its last bit
+        r, i, s = r[one], i[one], s[one]
         order = np.lexsort((i, -s, r))
         r, i, s = r[order], i[order], s[order]
-        new = np.append(True, (r[1:] != r[:-1]) | (i[1:] != i[:-1]))
-        r, i, s = r[new], i[new], s[new]
         place = np.arange(len(r)) - np.searchsorted(r, r)
         held = place < k
         out_i, out_s = np.full((len(xs), k), NONE, "i4"), np.full((len(xs), k), -np.inf, "f4")

@@ -225,8 +225,7 @@ def completed(x: np.ndarray, members: int, ids: np.ndarray, sims: np.ndarray, le
         r, i, s = np.concatenate(hit_row), np.concatenate(hit_id), np.concatenate(hit_sim)
         other = i != rows[r]
         r, i, s = r[other], i[other], s[other]
-        known = ids[some] != NONE
-        kr, kc = np.nonzero(known & (sims[some] <= worst[:, None]))  # the comparison above leaves these out
+        kr, kc = np.nonzero(ids[some] != NONE)
         r, i, s = np.concatenate([r, kr]), np.concatenate([i, ids[some][kr, kc]]), np.concatenate([s, sims[some][kr, kc]])
         _, one = np.unique(r.astype("i8") * members + i, return_index=True)  # a similarity may differ in its last bit
         r, i, s = r[one], i[one], s[one]

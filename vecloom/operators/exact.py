@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vector as V
+from vecloom.session import spread
 
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 8192
@@ -95,6 +96,7 @@ def merged_top(partial: DataFrame, k: int) -> DataFrame:
 def knn(queries: DataFrame, elements: DataFrame, k: int, query_id: str = "id", query_vec: str = "vec", id_col: str = "id", vec_col: str = "vec", exclude_self: bool = False) -> DataFrame:
     """``(query_id, rank, id, dist)``: the exact k nearest elements of each query. ``exclude_self``: an element of the query's id is left out."""
     rows = elements.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    rows = spread(rows)
     parts = None
     for ids, q in query_blocks(queries, query_id, query_vec):
         part = rows.mapInArrow(_partial(ids, q, k, exclude_self), "query_id long, id long, dist double")

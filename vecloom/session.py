@@ -53,3 +53,14 @@ def default_parallelism(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions for heavy work per row.
+
+    A table of a few files that cannot be split keeps most cores idle; its rows are dealt out
+    anew. Where there are enough partitions already, as in any large table, nothing is moved.
+    """
+    wanted = default_parallelism(df.sparkSession)
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if 2 * have > wanted else df.repartition(wanted)

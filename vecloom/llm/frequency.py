@@ -66,16 +66,11 @@ def term_bitmaps(df: DataFrame, id_col: str, list_col: str) -> DataFrame:
 def union_bitmaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """The union of two vertical layouts over disjoint sets of records (an increment): containers of one term and chunk are merged."""
     rows = a.unionByName(b)
-    dense = rows.where("bitmap is not null").select("term", "chunk", "bitmap", "occurrences")
-    listed = (
-        rows.where("positions is not null")
-        .select("term", "chunk", "occurrences", F.explode_outer("positions").alias("bit"), F.monotonically_increasing_id().alias("row"))
-        .groupBy("term", "chunk", "row", "occurrences")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-        .select("term", "chunk", "bitmap", "occurrences")
-    )
-    merged = dense.unionByName(listed).groupBy("term", "chunk").agg(F.bitmap_or_agg("bitmap").alias("bitmap"), F.sum("occurrences").alias("occurrences"))
-    return merged.select("term", "chunk", F.lit(None).cast("array<int>").alias("positions"), "bitmap", F.bitmap_count("bitmap").alias("docs"), "occurrences")
+    listed = rows.where("positions is not null").select("term", "chunk", F.explode("positions").alias("bit")).groupBy("term", "chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    dense = rows.where("bitmap is not null").select("term", "chunk", "bitmap")
+    merged = dense.unionByName(listed).groupBy("term", "chunk").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    occurrences = rows.groupBy("term", "chunk").agg(F.sum("occurrences").alias("occurrences"))
+    return merged.join(occurrences, ["term", "chunk"]).select("term", "chunk", F.lit(None).cast("array<int>").alias("positions"), "bitmap", F.bitmap_count("bitmap").alias("docs"), "occurrences")
 
 
 def frequencies(layout: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.session import spread
+
 #: Items whose words and vectors are sent to the tasks at once.
 ITEM_BLOCK = 20_000
 BLOCK, BLOCKS = 5, 4
@@ -324,6 +326,7 @@ def _leaks_of_block(texts: DataFrame, rows: list[tuple[int, str]], min_words: in
 def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, min_cosine: float = 0.8, rank: int = RANK) -> DataFrame:
     """``(doc_id, item_id, words, cosine)``: the documents that hold at least ``min_words`` consecutive words of an item, with the longest run and the best cosine."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
+    texts = spread(texts)
     queries = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(passage_col).cast("string").alias("passage")).where("item_id is not null and passage is not null").distinct()
     found, block, rows = None, [], queries.orderBy("item_id", "passage").toLocalIterator()
     for r in rows:

@@ -38,7 +38,7 @@ from vecloom.session import checkpointed
 SAMPLE = 32_768
 SHARD_ROWS = 40_000
 #: A shard is visited if its nearest centre is at most so much farther (in radians) than the row's own.
-VISIT_ANGLE = 0.25
+VISIT_ANGLE = 0.35
 
 
 @dataclass
@@ -233,7 +233,7 @@ def _listed(dim: int, k: int, within: float | None):
     return run
 
 
-def nearest_lists(df: DataFrame, id_col: str, vec_col: str, k: int = 10, visits: int = 3, within: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_lists(df: DataFrame, id_col: str, vec_col: str, k: int = 10, visits: int = 4, within: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(id, near ARRAY<STRUCT<d, id>>)``: each id's ``k`` nearest other ids, nearest first; with ``within``, only those up to that distance (ids without any are left out)."""
     vecs = V.selected(df, id_col, vec_col)
     dim, n = V.dimension_and_count(vecs)

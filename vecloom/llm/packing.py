@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.session import checkpointed
+from vecloom.session import checkpointed, spread
 
 PARTITION_ITEMS = 8192
 #: Partitions thrown together in an exchange.
@@ -85,7 +85,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
             yield pa.record_batch([b.column(0), pa.array([count(t) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], names=["id", "tokens"])
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return texts.mapInArrow(run, "id long, tokens long").groupBy("id").agg(F.max("tokens").alias("tokens"))
+    return spread(texts).mapInArrow(run, "id long, tokens long").groupBy("id").agg(F.max("tokens").alias("tokens"))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.session import checkpointed
+from vecloom.session import checkpointed, spread
 
 _GAP = r"[ \t\n\x0B\f\r]+"
 _EDGE = r"(?<![^ \t\n\x0B\f\r])\p{Punct}+|\p{Punct}+(?![^ \t\n\x0B\f\r])"
@@ -60,7 +60,8 @@ def line_key(value: Column) -> Column:
 
 def keyed_records(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``(id, key)`` of the records that have a key."""
-    return df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("id is not null and key is not null")
+    rows = spread(df.where(F.col(id_col).isNotNull()))
+    return rows.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("id is not null and key is not null")
 
 
 _SCAN = "part int, first boolean, last boolean, kept long, id long, key binary"

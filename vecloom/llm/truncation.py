@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.session import spread
+
 #: Blanks of every kind.
 _S = r"[\s\x{85}\x{A0}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{3000}\x{FEFF}]"
 #: What may follow a cut: dots, an ellipsis, either in brackets, blanks.
@@ -46,6 +48,7 @@ def end_features(df: DataFrame, id_col: str, source_col: str, text_col: str) ->
     """``(id, source, chars, bytes, blank, closed, heading)``, one row per id; the texts themselves are not shuffled."""
     text = F.col("text")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = spread(rows)
     end = ending(text)
     read = rows.select(
         "id",

@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.session import spread
+
 ROWS = 4096
 
 
 def selected(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``(id, vec)``."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and size(vec) > 0")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where("id is not null and size(vec) > 0"))
 
 
 def dimension_and_count(vectors: DataFrame) -> tuple[int, int]:

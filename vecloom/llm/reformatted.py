@@ -130,7 +130,9 @@ def _stitched(ends: list) -> list[tuple[int, int, int]]:
 def copies_of(keyed: DataFrame) -> DataFrame:
     """``(kept_id, copy_id)`` for ``(id, key)``: in each set of equal keys the smallest id is kept and every other is its copy."""
     spark = keyed.sparkSession
-    ordered = keyed.select("id", F.col("key").cast("binary").alias("key")).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    # the ranges come from a sample of the keys: written down, they are made once and not for the sample too
+    written = checkpointed(keyed.select("id", F.col("key").cast("binary").alias("key")))
+    ordered = written.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     scanned = checkpointed(ordered.mapInArrow(_scan, _SCAN))
     # two rows per partition at most: bounded by the number of partitions
     ends = scanned.where("id is null").select("part", "first", "last", "kept", "key").orderBy("part", F.desc("first")).collect()

@@ -50,9 +50,9 @@ def sum_embeddings(terms: DataFrame, dictionary: DataFrame, dim: int, id_col: st
     listed = terms.select(F.col(id_col).alias("id"), F.explode_outer(terms_col).alias("term"))
     counts = listed.groupBy("id", "term").agg(F.count("*").alias("n"))
     vecs = dictionary.where("vec is not null").groupBy("word_id").agg(F.first("vec").alias("vec"))
-    joined = counts.join(vecs, F.col("term") == F.col("word_id"), "left").select("id", F.col("n"), F.col("vec").cast("array<double>").alias("vec"))
+    joined = counts.join(vecs, F.col("term") == F.col("word_id"), "left").select("id", "n", "vec")
     zero = F.array_repeat(F.lit(0.0), dim)
-    add = lambda a, e: F.when(e["vec"].isNull(), a).otherwise(F.zip_with(a, e["vec"], lambda p, q: p + q * e["n"]))
+    add = lambda a, e: F.when(e["vec"].isNull(), a).otherwise(F.zip_with(a, e["vec"], lambda p, q: p + q.cast("double") * e["n"]))
     # a list is one element's; the order of addition is fixed by sorting
     grouped = joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "vec"))).alias("parts"))
     return grouped.select("id", F.aggregate("parts", zero, add).alias("vec"))

@@ -1,12 +1,12 @@
 """DuckDB SQL for the queries of this package that SQL can express.
 
-Queries without an entry (nearest neighbours, clusters, packing, leakage, varied subset) are
-tested against brute force, round trips and bounds in ``tests/llm``.
+Queries without an entry (approximate neighbours, packing, leakage, varied subset) are tested
+against brute force, round trips and bounds in ``tests/llm``.
 """
 
 from __future__ import annotations
 
-from vecloom.llm import lookalike
+from vecloom.llm import lookalike, truncation
 
 _P3 = """
 WITH recs AS (SELECT id, max(term_ids) AS term_ids FROM terms WHERE id IS NOT NULL GROUP BY id),
@@ -54,15 +54,58 @@ WITH looks AS (SELECT DISTINCT word_id, word, {_look("word")} AS look FROM word_
 """
 
 
-_BLANK = r"[\s\x{85}\x{A0}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{3000}\x{FEFF}]"
+_UNIT = """
+WITH raw AS (
+  SELECT 'vectors_f32' AS tab, id, max(vec)::DOUBLE[] AS v FROM vectors_f32 WHERE vec IS NOT NULL AND id IS NOT NULL GROUP BY id
+  UNION ALL SELECT 'dict', CAST(word_id AS BIGINT), max(vec)::DOUBLE[] FROM dict WHERE vec IS NOT NULL AND word_id IS NOT NULL GROUP BY word_id),
+normed AS (SELECT tab, id, v, sqrt(list_dot_product(v, v)) AS n FROM raw),
+u AS (SELECT tab, id, list_transform(v, lambda x: x / n) AS v FROM normed WHERE n > 0)
+"""
+
+_P2 = _UNIT + """,
+near AS (SELECT a.tab, a.id, b.id AS other, 1 - list_dot_product(a.v, b.v) AS d FROM u a JOIN u b ON a.tab = b.tab AND a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.997),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tab, id ORDER BY d, other) AS r FROM near)
+SELECT DISTINCT tab, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE r <= 10
+"""
+
+# a group: ids whose neighbours within the limit (themselves included) are the same ids
+_P6 = _UNIT + """,
+near AS (SELECT a.tab, a.id, b.id AS other FROM u a JOIN u b ON a.tab = b.tab WHERE list_dot_product(a.v, b.v) >= 0.85),
+ball AS (SELECT tab, id, min(other) AS lead_id, count(*) AS n, list(other ORDER BY other) AS members FROM near GROUP BY tab, id),
+grp AS (SELECT tab, lead_id, members, count(*) AS k FROM ball WHERE n >= 8 GROUP BY tab, lead_id, members HAVING count(*) = len(members))
+SELECT b.tab, b.lead_id, b.id FROM ball b JOIN grp g ON g.tab = b.tab AND g.members = b.members WHERE b.id <> b.lead_id
+"""
+
+
+def _p9() -> str:
+    cut, closing = _quoted(truncation.CUT_MARK), _quoted(truncation.CLOSING)
+    end = f"regexp_replace(regexp_replace(regexp_replace(text, {cut}, ''), {closing}, ''), {cut}, '')"
+    return f"""
+WITH docs AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, max(source) AS source, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+ends AS (SELECT *, length(text) AS chars, strlen(text) AS bytes, {end} AS fin, coalesce(regexp_matches(text, {_quoted("^" + truncation._S + "*$")}), true) AS blank FROM docs),
+read AS (SELECT *, regexp_matches(fin, {_quoted(truncation.TERMINAL)}) AND NOT regexp_matches(fin, {_quoted(truncation.ABBREVIATION)}) AS closed,
+  fin = '' OR regexp_matches(fin, {_quoted(truncation.HEADING)}) AS heading FROM ends),
+lens AS (SELECT source, 'c' AS unit, chars AS len FROM read WHERE NOT blank UNION ALL SELECT source, 'b', bytes FROM read WHERE NOT blank),
+hist AS (SELECT source, unit, len, count(*) AS n FROM lens GROUP BY ALL),
+tops AS (SELECT source, unit, max(len) AS len, arg_max(n, len) AS n, sum(n) AS total FROM hist GROUP BY source, unit),
+spikes AS (SELECT * FROM tops WHERE n >= {truncation.SPIKE_VALUES} AND n >= {truncation.SPIKE_SHARE} * total),
+flags AS (SELECT doc_id, source, coalesce(chars = c, false) OR coalesce(bytes = b, false) AS at_limit, NOT blank AND NOT closed AND (coalesce(chars = c, false) OR coalesce(bytes = b, false) OR NOT heading) AS truncated
+  FROM (SELECT r.*, (SELECT max(len) FROM spikes s WHERE s.source IS NOT DISTINCT FROM r.source AND unit = 'c') AS c, (SELECT max(len) FROM spikes s WHERE s.source IS NOT DISTINCT FROM r.source AND unit = 'b') AS b FROM read r))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2,
         "p3_found": _P3 + "SELECT word_id, mark FROM marked WHERE known AND mark IS NOT NULL",
         "p3_frequencies": _P3 + "SELECT word_id, word, docs, occurrences, mark FROM marked",
         "p4_found": _p4() + "SELECT DISTINCT a.word_id AS word_id_a, b.word_id AS word_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.word <> b.word AND a.word_id < b.word_id",
         "p4_forms": _p4() + "SELECT word_id, word, min(word) OVER (PARTITION BY look) AS canonical FROM looks",
         "p5_found": _P5 + "SELECT tab, kept_id, id AS copy_id FROM kept WHERE id <> kept_id",
         "p5_kept": _P5 + "SELECT tab, kept_id, n - 1 AS copies FROM kept WHERE id = kept_id",
+        "p6_found": _P6,
+        "p9_found": _p9() + "SELECT doc_id FROM flags WHERE truncated",
+        "p9_sources": _p9()
+        + """SELECT source, count(*) AS docs, CAST(sum(truncated::INT) AS BIGINT) AS truncated, CAST(sum((truncated AND at_limit)::INT) AS BIGINT) AS at_limit,
+        round(avg(truncated::INT::DOUBLE), 6) AS share FROM flags GROUP BY source""",
     }

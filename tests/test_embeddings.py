@@ -79,6 +79,24 @@ def test_binary_vectors(spark, tmp_path):
         files.flat_vectors(flat, "f", 3).collect()
 
 
+def test_binary_data_source(spark, tmp_path):
+    from vecloom.sources.binary import BinaryVectors
+
+    spark.dataSource.register(BinaryVectors)
+    df = spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(10)], "id long, vec array<float>")
+    (tmp_path / "d").mkdir()
+    files.write_binary_vectors(df.where("id < 4"), f"{tmp_path}/d/a")
+    files.write_binary_vectors(df.where("id >= 4"), f"{tmp_path}/d/b")
+    got = spark.read.format("flat_vectors").option("path", f"{tmp_path}/d").option("rows", 3).load()
+    assert [(r["id"], list(r["vec"])) for r in got.orderBy("id").collect()] == [(i, [i, -i]) for i in range(10)]
+    small = spark.createDataFrame([(0, [1, -127])], "id long, vec array<tinyint>")
+    files.write_binary_vectors(small, f"{tmp_path}/i8", "tinyint")
+    assert list(spark.read.format("flat_vectors").option("path", f"{tmp_path}/i8").option("dtype", "tinyint").load().first()["vec"]) == [1, -127]
+    (tmp_path / "bad").write_bytes(b"\0" * 12)
+    with pytest.raises(PySparkException):
+        spark.read.format("flat_vectors").option("path", f"{tmp_path}/bad").load().collect()
+
+
 def test_token_vectors_and_filters(spark, tmp_path):
     (tmp_path / "t.txt").write_text("cat 3 4\ndog 0 0\n")
     got = [(r["token"], [round(c, 6) for c in r["vec"]]) for r in files.token_vectors(spark, f"{tmp_path}/t.txt").orderBy("id").collect()]

@@ -135,6 +135,13 @@ def test_permutation_direction(spark):
     assert [r["v"] for r in reorder.permuted(rows, perm).orderBy("id").collect()] == ["b", "c", "a"]
 
 
+def test_exact_with_a_distance_of_ones_own(spark):
+    df = frame(spark, np.array([[0.0, 0.0], [1.0, 0.0], [5.0, 5.0]]))
+    l1 = lambda q, x: np.abs(q[:, None, :] - x[None, :, :]).sum(2)
+    got = [(r["id"], r["dist"]) for r in exact.knn(df.where("id = 0"), df, 3, distance=l1).orderBy("rank").collect()]
+    assert got == [(0, 0.0), (1, 1.0), (2, 10.0)]
+
+
 def test_exact_ties_nulls_and_zero(spark):
     df = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (4, None), (None, [1.0, 0.0])], "id long, vec array<float>")
     got = [tuple(r) for r in exact.knn(df.where("id = 3"), df, 3).orderBy("rank").collect()]

@@ -39,20 +39,25 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, id_col: str, vec_col: str, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set in blocks of ids and unit vectors."""
+    """The query set in blocks of ids and vectors."""
     ids, vecs = [], []
     rows = queries.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
     for r in rows.toLocalIterator():
         ids.append(r[0])
         vecs.append(r[1])
         if len(ids) == block:
-            yield np.array(ids, "i8"), unit(np.array(vecs, "f8"))
+            yield np.array(ids, "i8"), np.array(vecs, "f8")
             ids, vecs = [], []
     if ids:
-        yield np.array(ids, "i8"), unit(np.array(vecs, "f8"))
+        yield np.array(ids, "i8"), np.array(vecs, "f8")
 
 
-def _partial(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
+def cosine_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Queries x elements: 1 - cosine, 0 at least."""
+    return np.maximum(0, 1 - unit(q) @ unit(x).T)
+
+
+def _partial(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d = np.full((len(q), 0), np.inf)
         best_i = np.full((len(q), 0), -1, "i8")
@@ -60,9 +65,9 @@ def _partial(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool):
             if not b.num_rows:
                 continue
             own = b.column(0).to_numpy()
-            x = unit(matrix(b.column(1), q.shape[1]))
+            x = matrix(b.column(1), q.shape[1])
             for at in range(0, len(own), 4096):
-                d = np.round(np.maximum(0, 1 - q @ x[at : at + 4096].T), DIGITS)
+                d = np.round(distance(q, x[at : at + 4096]), DIGITS)
                 i = np.broadcast_to(own[at : at + 4096], d.shape)
                 if exclude_self:
                     d = np.where(i == ids[:, None], np.inf, d)
@@ -93,13 +98,17 @@ def merged_top(partial: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", F.posexplode("top").alias("rank", "e")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("e.id").alias("id"), F.col("e.dist").alias("dist"))
 
 
-def knn(queries: DataFrame, elements: DataFrame, k: int, query_id: str = "id", query_vec: str = "vec", id_col: str = "id", vec_col: str = "vec", exclude_self: bool = False) -> DataFrame:
-    """``(query_id, rank, id, dist)``: the exact k nearest elements of each query. ``exclude_self``: an element of the query's id is left out."""
+def knn(queries: DataFrame, elements: DataFrame, k: int, query_id: str = "id", query_vec: str = "vec", id_col: str = "id", vec_col: str = "vec", exclude_self: bool = False, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosine_distance) -> DataFrame:
+    """``(query_id, rank, id, dist)``: the exact k nearest elements of each query.
+
+    ``exclude_self``: an element of the query's id is left out. ``distance``: a distance of one's
+    own, a function of a matrix of queries and one of elements.
+    """
     rows = elements.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
     rows = spread(rows)
     parts = None
     for ids, q in query_blocks(queries, query_id, query_vec):
-        part = rows.mapInArrow(_partial(ids, q, k, exclude_self), "query_id long, id long, dist double")
+        part = rows.mapInArrow(_partial(ids, q, k, exclude_self, distance), "query_id long, id long, dist double")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         parts = elements.sparkSession.createDataFrame([], "query_id long, id long, dist double")

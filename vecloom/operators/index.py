@@ -159,9 +159,9 @@ class Index:
         k = min(k, max_search)
         rows = _together(self.elements, self.graph, self.shards)
         parts = None
-        for ids, q in exact.query_blocks(queries, query_id, query_vec):
+        for ids, raw in exact.query_blocks(queries, query_id, query_vec):
 
-            def run(batches, ids=ids, q=q):
+            def run(batches, ids=ids, q=exact.unit(raw)):
                 for _, own, x, layers in _shards(batches):
                     searcher = Searcher(x, layers)
                     out = [(int(i), int(own[p]), d) for i, v in zip(ids, q) for d, p in searcher.search(v, max_search, k)]

@@ -5,8 +5,8 @@ Latent semantic retrieval. Every document is read as overlapping passages of 20
 items (weight: the square of the inverse document frequency's logarithm). A randomised SVD
 gives the latent space: one pass over the whole corpus counts document frequencies and
 multiplies the passages' Gram matrix with a random test matrix, partition by partition, and
-the sums are added up; an orthonormal basis of the weighted product is the basis of the
-leading singular vectors. A second pass projects the passages and takes as candidates all
+the sums are added up; from an orthonormal basis of the weighted product and the small core
+matrix that product and test matrix determine come the leading right singular vectors. A second pass projects the passages and takes as candidates all
 pairs of document and item with a cosine of ``min_cosine`` or more in that space. A passage
 whose projection is shorter than ``INFORMATIVE`` times that of the item passage with the
 shortest one holds too few of the items' words to be compared and is passed over.
@@ -40,6 +40,8 @@ from vecloom.session import spread
 ITEM_BLOCK = 20_000
 BLOCK, BLOCKS = 5, 4
 RANK = 96
+#: Columns of the test matrix beyond the rank.
+OVERSAMPLE = 32
 #: A document's passage takes part if its projection is so long, as a share of the shortest of an item passage.
 INFORMATIVE = 0.6
 
@@ -245,11 +247,17 @@ def _sketch(texts: DataFrame, items: _Items, rank: int) -> tuple[int, np.ndarray
 
 def _latent_space(texts: DataFrame, items: _Items, rank: int) -> np.ndarray:
     """The projection (words x rank), the words' weights included."""
-    rank = max(1, min(rank, len(items.vocabulary)))
-    total, df, product = _sketch(texts, items, rank)
+    size = len(items.vocabulary)
+    width = max(1, min(rank + OVERSAMPLE, size))
+    total, df, product = _sketch(texts, items, width)
     weights = np.log((1 + total) / (1 + df)) ** 2 + 1e-3
-    basis, _ = np.linalg.qr(weights[:, None] * product)
-    return (weights[:, None] * basis).astype("f4")
+    # with A the weighted passages: A'A times the test matrix, which for the weighted words is the one drawn by their weights
+    image, tested = weights[:, None] * product, _test_matrix(size, width) / weights[:, None]
+    basis, _ = np.linalg.qr(image)
+    core = (basis.T @ image) @ np.linalg.pinv(basis.T @ tested)
+    _, turn = np.linalg.eigh((core + core.T) / 2)
+    leading = basis @ turn[:, ::-1][:, : min(rank, width)]  # right singular vectors of A, greatest first
+    return (weights[:, None] * leading).astype("f4")
 
 
 def _windows(codes: np.ndarray, projection: np.ndarray) -> np.ndarray:

@@ -59,8 +59,8 @@ def test_select_keeps_all_when_few():
     d = 1 - x @ x[0]
     order = np.argsort(d)[1:]
     ids, dist = order[None, :].astype("i4"), d[order][None, :]
-    assert (select(x, np.array([0]), ids, dist, 60)[0, :49] == order).all()
-    few = select(x, np.array([0]), ids, dist, 10)[0]
+    assert (select(x, ids, dist, 60)[0, :49] == order).all()
+    few = select(x, ids, dist, 10)[0]
     few = few[few != NONE]
     assert 1 <= len(few) <= 10 and (np.diff(d[few]) >= 0).all()
 

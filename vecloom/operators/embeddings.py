@@ -45,11 +45,11 @@ def parse_elements(lines: DataFrame, id_col: str, line_col: str, dictionary: Dat
 def sum_embeddings(terms: DataFrame, dictionary: DataFrame, dim: int, id_col: str = "id", terms_col: str = "term_ids") -> DataFrame:
     """``(id, vec)``: the sum of the listed embeddings, each as often as it is listed, in double precision.
 
-    An empty list gives zeros; ids without an embedding, and embeddings that are null, add nothing.
+    An empty list gives zeros; ids without an embedding, and embeddings that are null, add nothing; of several embeddings of one id the greatest counts.
     """
     listed = terms.select(F.col(id_col).alias("id"), F.explode_outer(terms_col).alias("term"))
     counts = listed.groupBy("id", "term").agg(F.count("*").alias("n"))
-    vecs = dictionary.where("vec is not null").groupBy("word_id").agg(F.first("vec").alias("vec"))
+    vecs = dictionary.where("vec is not null").groupBy("word_id").agg(F.max("vec").alias("vec"))
     joined = counts.join(vecs, F.col("term") == F.col("word_id"), "left").select("id", "n", "vec")
     zero = F.array_repeat(F.lit(0.0), dim)
     add = lambda a, e: F.when(e["vec"].isNull(), a).otherwise(F.zip_with(a, e["vec"], lambda p, q: p + q.cast("double") * e["n"]))
@@ -74,7 +74,7 @@ def text_vectors(texts: DataFrame, id_col: str, text_col: str, dictionary: DataF
 
 def appended_words(dictionary: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The dictionary with the new words of ``more (word, vec)``, numbered on by word; and ``(word, added)`` for each word offered."""
-    offered = more.groupBy("word").agg(F.first("vec").alias("vec"))
+    offered = more.groupBy("word").agg(F.max("vec").alias("vec"))
     known = dictionary.select(F.col("word").alias("w")).distinct()
     fresh = offered.join(known, F.col("word") == F.col("w"), "left_anti")
     start = dictionary.agg(F.coalesce(F.max("word_id") + 1, F.lit(0)).alias("s")).first()["s"]

@@ -41,7 +41,7 @@ class BuildConfig:
             raise ValueError("layer_multiplier must be above 1")
 
 
-def select(x: np.ndarray, own: np.ndarray, ids: np.ndarray, dist: np.ndarray, limit: int) -> np.ndarray:
+def select(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, limit: int) -> np.ndarray:
     """A diverse choice out of each row's candidates (sorted by distance, -1 beyond the end): all, if there are at most ``limit``."""
     rows, width = ids.shape
     out = np.full((rows, limit), NONE, "i4")
@@ -97,7 +97,7 @@ def _joined(x: np.ndarray, size: int, a: np.ndarray, b: np.ndarray, width: int)
     ids[a[held], place[held]], dist[a[held], place[held]] = b[held], d[held]
     out = np.empty((size, width), "i4")
     for at in range(0, size, 256):
-        out[at : at + 256] = select(x, np.arange(at, min(at + 256, size)), ids[at : at + 256], dist[at : at + 256], width)
+        out[at : at + 256] = select(x, ids[at : at + 256], dist[at : at + 256], width)
     return out
 
 
@@ -111,20 +111,24 @@ def _link(x: np.ndarray, old: np.ndarray, size: int, config: BuildConfig, degree
     src, col = np.nonzero(old != NONE)
     a.append(src.astype("i4"))
     b.append(old[src, col])
-    rounds = [(config.max_search, np.arange(before, size))]
-    if config.reinsert:
-        rounds.append((max(1, config.max_search // 2), np.arange(size)))
-    for most, rows in rounds:
-        rows = rows[good[rows]]
-        for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            ids, dist = _candidates(points, some, among, most)
-            chosen = select(points, some, ids, dist, degree)
+    half = max(1, config.max_search // 2)
+    rows = np.arange(0 if config.reinsert else before, size)
+    rows = rows[good[rows]]
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        ids, dist = _candidates(points, some, among, config.max_search)
+        new = some >= before
+        # elements that are new are inserted; then all are inserted again with half of the candidates
+        passes = [(some[new], ids[new], dist[new])]
+        if config.reinsert:
+            passes.append((some, ids[:, :half], dist[:, :half]))
+        for own, near, far in passes:
+            chosen = select(points, near, far, degree)
             middle = chosen[:, min(degree // 2, chosen.shape[1] - 1)]
-            far = np.maximum(0, 1 - np.einsum("ij,ij->i", points[some], points[np.maximum(middle, 0)]))
-            chosen[(middle != NONE) & (far < EPSILON_100)] = NONE
+            d = np.maximum(0, 1 - np.einsum("ij,ij->i", points[own], points[np.maximum(middle, 0)]))
+            chosen[(middle != NONE) & (d < EPSILON_100)] = NONE
             r, c = np.nonzero(chosen != NONE)
-            i, j = some[r].astype("i4"), chosen[r, c]
+            i, j = own[r].astype("i4"), chosen[r, c]
             a += [i, j]
             b += [j, i]
     return _joined(points, size, np.concatenate(a), np.concatenate(b), degree)

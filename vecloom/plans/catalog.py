@@ -111,7 +111,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(d, 6) AS dist FROM ran
 # --- scalar functions -------------------------------------------------------------------
 
 
-@_query("SELECT vec_id AS id, len(embedding) AS dim FROM embeddings")
+@_query("SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
 def vec_dims(spark, sf):
     return _elements(spark, sf).select("id", V.dimension(F.col("vec")).alias("dim"))
 
@@ -349,7 +349,7 @@ def insert_ids_capped(spark, sf):
 
 
 @_query("""WITH w AS (SELECT max(vec_id) + 1 AS s FROM embeddings)
-SELECT vec_id AS id, len(embedding) AS dim FROM embeddings UNION ALL SELECT vec_id + (SELECT s FROM w), len(embedding) FROM embeddings""")
+SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings UNION ALL SELECT vec_id + (SELECT s FROM w), CAST(len(embedding) AS INTEGER) FROM embeddings""")
 def concatenated_elements(spark, sf):
     e = _elements(spark, sf)
     return concatenated(e, e).select("id", F.size("vec").alias("dim"))

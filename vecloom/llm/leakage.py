@@ -46,17 +46,15 @@ OVERSAMPLE = 32
 INFORMATIVE = 0.6
 
 _BROKEN = re.compile(r"[-=¬‐­–][ \t]*\n\s*")
-_SIGNS = re.compile(r"[^\w\n ]+|_+")
-_LINE = "\n"
+_SIGNS = re.compile(r"[^\w\s]+|_+")
 
 # Letters and signs that are misread for one another, each written as the last of its group.
 _MISREAD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("0", "o"), ("1", "l"), ("i", "l"), ("!", "l"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("q", "g"), ("c", "e"), ("f", "t"), ("h", "b"), ("n", "u"), ("a", "o")]
 
 
-def words_of(text: str) -> list[str]:
-    """Words in lower case without signs; a line end stays as a token of its own unless a mark joins the word across it."""
-    joined = _BROKEN.sub("", text.lower())
-    return _SIGNS.sub("", joined.replace("\t", " ").replace(_LINE, " \n ")).split(" ") if joined else []
+def lines_of(text: str) -> list[str]:
+    """The lines in lower case without signs; a word that a mark breaks at a line end is whole, on the first of the two lines."""
+    return _SIGNS.sub("", _BROKEN.sub("", text.lower())).split("\n")
 
 
 def _folded(word: str) -> str:
@@ -102,10 +100,10 @@ class Matcher:
         return got
 
 
-def longest_run(item: list[str], doc: list[str], at_line_end: list[bool], same: Matcher, starts: dict[tuple[str, str], list[int]]) -> int:
+def longest_run(item: list[str], doc: list[str], at_line_end: set[int], same: Matcher, starts: dict[tuple[str, str], list[int]]) -> int:
     """Most consecutive words of the item that the document holds.
 
-    ``at_line_end[j]``: a line ends after word j, so that it may be the first half of a broken
+    ``at_line_end``: places of words that a line ends after; each may be the first half of a broken
     word. ``starts``: places of each pair of neighbouring words in the item.
     """
     best, done = 0, set()
@@ -118,7 +116,7 @@ def longest_run(item: list[str], doc: list[str], at_line_end: list[bool], same:
             while left_i > 0 and left_j > 0:
                 if same(item[left_i - 1], doc[left_j - 1]):
                     left_i, left_j = left_i - 1, left_j - 1
-                elif left_j > 1 and at_line_end[left_j - 2] and same(item[left_i - 1], doc[left_j - 2] + doc[left_j - 1]):
+                elif left_j > 1 and left_j - 2 in at_line_end and same(item[left_i - 1], doc[left_j - 2] + doc[left_j - 1]):
                     left_i, left_j = left_i - 1, left_j - 2
                 else:
                     break
@@ -127,7 +125,7 @@ def longest_run(item: list[str], doc: list[str], at_line_end: list[bool], same:
                 done.add((a, b))
                 if same(item[a], doc[b]):
                     a, b = a + 1, b + 1
-                elif b + 1 < m and at_line_end[b] and same(item[a], doc[b] + doc[b + 1]):
+                elif b + 1 < m and b in at_line_end and same(item[a], doc[b] + doc[b + 1]):
                     a, b = a + 1, b + 2
                 else:
                     break
@@ -147,7 +145,7 @@ class _Items:
     def of(rows: list[tuple[int, str]]) -> _Items:
         ids, words, vocabulary = [], [], {}
         for item_id, passage in rows:
-            tokens = [w for w in words_of(passage) if w and w != _LINE]
+            tokens = " ".join(lines_of(passage)).split()
             if tokens:
                 ids.append(item_id)
                 words.append(tokens)
@@ -156,30 +154,26 @@ class _Items:
         return _Items(ids, words, vocabulary)
 
 
-def _doc_tokens(text: str, vocabulary: dict[str, int]) -> tuple[list[str], list[bool]]:
-    """The words of a document and whether a line ends after each; a word broken without a mark is joined if that makes a word of the vocabulary of two that are none."""
+def _doc_tokens(text: str, vocabulary: dict[str, int]) -> tuple[list[str], set[int]]:
+    """The words of a document and the places of those that a line ends after; a word broken without a mark is joined if that makes a word of the vocabulary of two that are not both of it."""
     words: list[str] = []
-    ends: list[bool] = []
-    pending = False
-    for w in words_of(text):
-        if not w:
+    ends: set[int] = set()
+    for line in lines_of(text):
+        more = line.split()
+        if not more:
             continue
-        if w == _LINE:
-            if words:
-                ends[-1] = pending = True
-            continue
-        if pending:
-            pending = False
-            whole = words[-1] + w
-            if whole in vocabulary and not (words[-1] in vocabulary and w in vocabulary):
-                words[-1], ends[-1] = whole, False
+        if words:
+            whole = words[-1] + more[0]
+            if whole in vocabulary and not (words[-1] in vocabulary and more[0] in vocabulary):
+                words[-1] = whole
+                words.extend(more[1:])
                 continue
-        words.append(w)
-        ends.append(False)
+            ends.add(len(words) - 1)
+        words.extend(more)
     return words, ends
 
 
-def _coded(texts: list[str], vocabulary: dict[str, int]) -> tuple[list[tuple[list[str], list[bool]]], np.ndarray, np.ndarray]:
+def _coded(texts: list[str], vocabulary: dict[str, int]) -> tuple[list[tuple[list[str], set[int]]], np.ndarray, np.ndarray]:
     """Tokens per text; the codes of all (-1 outside the vocabulary, -2 padding) in whole blocks; the text of each block."""
     docs = [_doc_tokens(t, vocabulary) for t in texts]
     get = vocabulary.get

@@ -100,6 +100,17 @@ def test_nearest_over_shards(spark, data):
     assert neighbours.recall(frame(spark, data), "id", "vec", found, k=5, every=3) >= 0.9
 
 
+def test_nearest_is_complete_over_many_shards(spark):
+    x = np.vstack([grouped(loose=600, seed=4), grouped(loose=0, members=3, seed=8)])
+    x = np.vstack([x, np.repeat(x[300:302], 15, axis=0)])
+    found = {}
+    for r in neighbours.nearest(frame(spark, x), "id", "vec", k=5, shard_rows=25, visits=1).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append(r["dist"])
+    want, s = truth(x, 5)
+    assert set(found) == set(range(len(x)))
+    assert all(np.allclose(found[i], np.maximum(0, 1 - s[i, want[i]]), atol=3e-6) for i in found)
+
+
 def test_copies_and_ties(spark):
     x = unit(np.random.default_rng(3).standard_normal((40, 8))).astype("f4")
     many = np.vstack([x, np.repeat(x[:1], 60, axis=0)])  # more copies than k of one vector

@@ -239,6 +239,32 @@ def completed(x: np.ndarray, members: int, ids: np.ndarray, sims: np.ndarray, le
     return ids, sims
 
 
+def within_bounds(own: np.ndarray, annuli: Annuli, x: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row of ``x``, none of them a member: its ``k`` most similar members of those with a similarity above the row's ``least``, best first."""
+    ids, sims = np.full((len(x), k), NONE, "i4"), np.full((len(x), k), -np.inf, "f4")
+    for at in range(0, len(x), 8192):
+        xs, worst = x[at : at + 8192], least[at : at + 8192].astype("f4")
+        reach = annuli.reachable(xs, worst)
+        for b, block in enumerate(annuli.blocks):
+            r = np.flatnonzero(reach[:, b])
+            if not len(r):
+                continue
+            s = xs[r] @ own[block].T
+            hit = (s > worst[r, None]).any(1)
+            if not hit.any():
+                continue
+            r, s = r[hit], s[hit]
+            s[s <= worst[r, None]] = -np.inf
+            top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            i = np.concatenate([ids[at + r], block[top].astype("i4")], 1)
+            v = np.concatenate([sims[at + r], np.take_along_axis(s, top, 1)], 1)
+            i[~np.isfinite(v)] = NONE
+            order = np.lexsort((i, -v), axis=1)[:, :k]
+            ids[at + r], sims[at + r] = np.take_along_axis(i, order, 1), np.take_along_axis(v, order, 1)
+            worst[r] = np.maximum(worst[r], sims[at + r, -1] - 1e-6)
+    return ids, sims
+
+
 def shard_neighbours(x: np.ndarray, members: int, k: int, steps: int = 1, pool: int = POOL, within: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For every row of ``x`` (members first, then visitors) its ``k`` most similar members: ids (places among the members, -1 for none) and similarities.
 

@@ -9,6 +9,13 @@ vectors in different shards at least one visits the other). Each shard is one ta
 the graph over its members and searches it for members and visitors (see ``graph``). The
 results of a row's shards are merged.
 
+That is a first pass, and what it found is a bound: without ``within``, each row is then sent to
+every further shard that can still hold a vector as near as the row's ``k``-th: by the triangle
+inequality, from the angles of the row and of the shard's closest member to the row's nearest
+centres (``_beyond``). The lists are
+complete, whatever the number of shards. For this pass shards are gathered into groups of about
+``GROUP_ROWS`` rows, so that a row with no near neighbours is sent to few tasks.
+
 Exact copies are collapsed before anything is sent, batch by batch, and again in the shard, so
 that a vector that is delivered a million times is one node; the copies get their neighbours by
 a join on their representative, of which a large group has many.
@@ -33,12 +40,18 @@ from pyspark.sql import functions as F
 from vecloom.llm import graph
 from vecloom.llm import vectors as V
 from vecloom.llm.clusters import _nearest, _unit
-from vecloom.session import checkpointed
+from vecloom.session import checkpointed, default_parallelism
 
 SAMPLE = 32_768
 SHARD_ROWS = 40_000
 #: A shard is visited if its nearest centre is at most so much farther (in radians) than the row's own.
 VISIT_ANGLE = 0.35
+#: Members that one task of the second pass holds, where there are more shards than tasks.
+GROUP_ROWS = 320_000
+#: What angles from single precision may be off.
+ANGLE_ERROR = 2e-3
+#: A row's nearest centres by which a shard is ruled out.
+PIVOTS = 4
 
 
 @dataclass
@@ -94,7 +107,7 @@ def fitted_routes(vecs: DataFrame, dim: int, n: int, shard_rows: int = SHARD_ROW
     return Routes(centres, shard, at)
 
 
-_ROUTED = "shard int, home boolean, id long, rep long, vec binary, copies array<long>"
+_ROUTED = "shard int, home boolean, id long, rep long, vec binary, copies array<long>, seen array<int>"
 
 
 def _routed(vecs: DataFrame, dim: int, routes: Routes, k: int, visits: int, within: float | None) -> DataFrame:
@@ -133,13 +146,147 @@ def _routed(vecs: DataFrame, dim: int, routes: Routes, k: int, visits: int, with
                 pa.array(np.concatenate([own[at], rep_of[links]]), pa.int64()),
                 pa.array([b.tobytes() for b in xs[at]] + [None] * len(links), pa.binary()),
                 pa.array(copies + none + [None] * len(links), pa.list_(pa.int64())),
+                pa.array([*np.split(s, np.searchsorted(r, np.arange(1, m))), *none, *[None] * len(links)], pa.list_(pa.int32())),
             ],
-            names=["shard", "home", "id", "rep", "vec", "copies"],
+            names=["shard", "home", "id", "rep", "vec", "copies", "seen"],
         )
 
     return vecs.mapInArrow(V.per_rows(work, dim), _ROUTED)
 
 
+def _closest(homes: DataFrame, dim: int, routes: Routes) -> np.ndarray:
+    """Centres x shards: the least angle of the shard's members to the centre (infinite for an empty shard)."""
+    k = len(routes.centres)
+
+    def run(batches):
+        best: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                p = b.slice(at, 1024)
+                shard = p.column("shard").to_numpy()
+                order = np.argsort(shard, kind="stable")
+                heads = np.flatnonzero(np.diff(shard[order], prepend=-1))
+                x = np.frombuffer(b"".join(p.column("vec").to_pylist()), "f4").reshape(-1, dim)[order]
+                for g, v in zip(shard[order][heads].tolist(), np.maximum.reduceat(x @ routes.centres.T, heads, axis=0)):
+                    best[g] = np.maximum(best[g], v) if g in best else v
+        yield pa.record_batch([pa.array(list(best), pa.int32()), pa.array([v.astype("f4").tobytes() for v in best.values()], pa.binary())], names=["shard", "sims"])
+
+    def highest(batches):
+        best: dict[int, np.ndarray] = {}
+        for b in batches:
+            for g, v in zip(b.column("shard").to_pylist(), b.column("sims").to_pylist()):
+                v = np.frombuffer(v, "f4")
+                best[g] = np.maximum(best[g], v) if g in best else v
+        yield pa.record_batch([pa.array(list(best), pa.int32()), pa.array([v.tobytes() for v in best.values()], pa.binary())], names=["shard", "sims"])
+
+    kind = "shard int, sims binary"
+    out = np.full((k, routes.shards), np.inf, "f4")
+    for r in homes.select("shard", "vec").mapInArrow(run, kind).repartition(4, "shard").mapInArrow(highest, kind).collect():  # one row per shard
+        out[:, r["shard"]] = np.arccos(np.clip(np.frombuffer(r["sims"], "f4"), -1, 1))
+    return out
+
+
+def _beyond(routed: DataFrame, lists: DataFrame, dim: int, routes: Routes, n: int, k: int) -> DataFrame:
+    """Second pass: what shards not visited hold of vectors as near as a row's ``k``-th so far."""
+    spark = routed.sparkSession
+    groups = min(routes.shards, max(default_parallelism(spark), math.ceil(n / GROUP_ROWS)))
+    group_of = np.arange(routes.shards) * groups // routes.shards
+    closest = _closest(routed.where("home"), dim, routes)
+    pivots = min(PIVOTS, len(routes.centres))
+
+    def open_rows(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                p = b.slice(at, 1024)
+                x = np.frombuffer(b"".join(p.column("vec").to_pylist()), "f4").reshape(-1, dim)
+                bound = p.column("bound").to_numpy()
+                seen = np.zeros((len(x), routes.shards), bool)
+                seen[np.arange(len(x)), p.column("shard").to_numpy()] = True
+                visited = p.column("seen").to_pylist()
+                seen[np.repeat(np.arange(len(x)), [len(v) for v in visited]), np.array([g for v in visited for g in v], "i8")] = True
+                angle = np.arccos(np.clip(x @ routes.centres.T, -1, 1))
+                nearest = np.argpartition(angle, pivots - 1, axis=1)[:, :pivots]
+                least = (closest[nearest] - np.take_along_axis(angle, nearest, 1)[:, :, None]).max(1)
+                reach = (least <= np.arccos(np.clip(1 - bound, -1, 1))[:, None] + ANGLE_ERROR) & ~seen
+                to = np.zeros((len(x), groups), bool)
+                r, s = np.nonzero(reach)
+                to[r, group_of[s]] = True
+                r, g = np.nonzero(to)
+                if len(r):
+                    yield pa.record_batch([pa.array(g, pa.int32()), pa.array(np.zeros(len(r), bool)), p.column("rep").take(pa.array(r)), p.column("vec").take(pa.array(r)), pa.array(bound[r], pa.float32()), pa.nulls(len(r), pa.list_(pa.int64()))], names=["grp", "home", "id", "vec", "bound", "copies"])
+
+    # the k-th of the different ids that a row has so far holds for its copies too
+    bounds = lists.select(F.col("rep").alias("of"), F.coalesce(F.try_element_at("others", F.lit(k))["d"], F.lit(2.0)).cast("float").alias("bound"))
+    homes = routed.where("home")
+    asked = homes.select("rep", "shard", "seen", "vec").join(bounds, F.col("rep") == F.col("of"), "left").select("rep", "shard", "seen", "vec", F.coalesce("bound", F.lit(2.0).cast("float")).alias("bound"))
+    kind = "grp int, home boolean, id long, vec binary, bound float, copies array<long>"
+    grouped = (F.col("shard").cast("long") * groups / routes.shards).cast("int").alias("grp")
+    both = homes.select(grouped, "home", "id", "vec", F.lit(0.0).cast("float").alias("bound"), "copies").unionByName(asked.mapInArrow(open_rows, kind))
+    return both.repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", F.desc("home")).mapInArrow(_held_against(dim, k), _LISTS)
+
+
+def _held_against(dim: int, k: int):
+    """A function for ``mapInArrow`` over whole groups, members first: each guest's members within its bound, the ``k`` nearest vectors with all their ids."""
+
+    def run(batches):
+        grp, held, ready, guests, waiting = None, [], None, [], 0
+
+        def settled():
+            x, ids = np.concatenate([h[1] for h in held]), np.concatenate([h[0] for h in held])
+            copies = [c for h in held for c in h[2]]
+            keys = np.ascontiguousarray(x).view(f"V{4 * dim}").ravel()
+            _, first, node_of = np.unique(keys, return_index=True, return_inverse=True)
+            several: dict[int, set[int]] = {}
+            crowded = np.bincount(node_of, minlength=len(first)) > 1
+            for i, c in enumerate(copies):
+                if crowded[node_of[i]] or c:
+                    several.setdefault(int(node_of[i]), set()).update([int(ids[i]), *(c or ())])
+            nodes = np.ascontiguousarray(x[first])
+            return nodes, ids[first], {n: sorted(v)[: k + 1] for n, v in several.items()}, graph.Annuli(nodes)
+
+        def answered():
+            ids, x, bound = (np.concatenate([g[j] for g in guests]) for j in range(3))
+            nodes, one, several, annuli = ready
+            near, sims = graph.within_bounds(nodes, annuli, x, 1 - bound - 1e-6, k + 1)
+            out = []
+            for r in np.flatnonzero(near[:, 0] != graph.NONE).tolist():
+                got_i, got_d = [], []
+                for j, s in zip(near[r].tolist(), sims[r].tolist()):
+                    if j == graph.NONE:
+                        break
+                    some = several.get(j) or [int(one[j])]
+                    got_i += some
+                    got_d += [max(0.0, 1 - s)] * len(some)
+                out.append((int(ids[r]), got_i, got_d))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32())))], names=["rep", "ids", "dists"])
+
+        for b in batches:
+            grps, home = b.column("grp").to_numpy(), b.column("home").to_numpy(zero_copy_only=False)
+            cuts = np.append(np.flatnonzero(np.diff(grps * 2 + ~home, prepend=-1)), len(grps))
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                p = b.slice(a, z - a)
+                if grps[a] != grp:
+                    if waiting and ready:
+                        yield from answered()
+                    grp, held, ready, guests, waiting = grps[a], [], None, [], 0
+                x = np.frombuffer(b"".join(p.column("vec").to_pylist()), "f4").reshape(-1, dim)
+                if home[a]:
+                    held.append((p.column("id").to_numpy(), x, p.column("copies").to_pylist()))
+                    continue
+                if ready is None and held:
+                    ready, held = settled(), []
+                guests.append((p.column("id").to_numpy(), x, p.column("bound").to_numpy()))
+                waiting += len(x)
+                if ready and waiting >= 8192:
+                    yield from answered()
+                    guests, waiting = [], 0
+        if waiting and ready:
+            yield from answered()
+
+    return run
+
+
 _LISTS = "rep long, ids array<long>, dists array<float>"
 
 
@@ -243,7 +390,17 @@ def nearest_lists(df: DataFrame, id_col: str, vec_col: str, k: int = 10, visits:
     routed = checkpointed(_routed(vecs, dim, routes, k, visits, within))
     rows = routed.where("shard >= 0").select("shard", "home", "id", "vec", "copies")
     lists = rows.repartitionById(routes.shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_listed(dim, k, within), _LISTS)
-    merged = lists.groupBy("rep").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("dists").alias("d"), F.col("ids").alias("id")))).alias("near"))
+    gathered = F.flatten(F.collect_list(F.arrays_zip(F.col("dists").alias("d"), F.col("ids").alias("id")))).alias("near")
+    if within is None and routes.shards > 1:
+        # the k + 1 nearest of different ids besides the row's own: its copies' lists have its own id too
+        others = F.array_sort(F.filter("near", lambda e: e["id"] != F.col("rep")))
+        once = F.filter("others", lambda e, i: F.array_position(F.transform("others", lambda o: o["id"]), e["id"]) == i + 1)
+        own = F.filter("near", lambda e: e["id"] == F.col("rep"))
+        first = lists.groupBy("rep").agg(gathered).withColumn("others", others).select("rep", F.slice(own, 1, 1).alias("own"), F.slice(once, 1, k + 1).alias("others"))
+        first = checkpointed(first)
+        kept = first.select("rep", F.concat("own", "others").alias("near")).select("rep", F.transform("near", lambda e: e["id"]).alias("ids"), F.transform("near", lambda e: e["d"]).alias("dists"))
+        lists = kept.unionByName(_beyond(routed, first, dim, routes, n, k))
+    merged = lists.groupBy("rep").agg(gathered)
     ids = routed.where("home or shard < 0").groupBy("id").agg(F.min("rep").alias("of"))
     named = ids.join(merged, F.col("of") == F.col("rep"))
     ordered = named.select("id", F.array_sort("near").alias("near")).withColumn("ids", F.transform("near", lambda e: e["id"]))

@@ -184,6 +184,21 @@ def test_subset(spark, data):
     assert subset.varied_subset(empty(spark), "id", "vec", size=5).count() == 0
 
 
+def test_subset_reaches_every_group(spark):
+    # more groups than a quarter of the size, among more loose vectors
+    x = grouped(groups=50, members=12, loose=500, dim=48, seed=2)
+    ids = [r["id"] for r in subset.varied_subset(frame(spark, x), "id", "vec", size=80).collect()]
+    assert len(set(ids)) == len(ids) == 80 and {i // 12 for i in ids if i < 600} == set(range(50))
+
+
+def test_quotas_leave_no_region_out():
+    counts = np.zeros((40, 8), "i8")
+    counts[:20, 0], counts[20:] = 1, 500  # thin regions share one side
+    assert (subset.flow_quotas(counts, 40).sum(1) == 1).all()
+    assert (subset.flow_quotas(counts, 20_000).sum(1) >= 1).all()
+    assert subset.flow_quotas(counts, 20)[:20].sum() == 0  # size for half: those with most records
+
+
 def test_hashed_features(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["c"]), (4, []), (5, None), (None, ["a"])], "id long, terms array<string>")
     got = {r["id"]: list(r["vec"]) for r in vectors.hashed_features(df, "id", "terms", 16).collect()}

@@ -1,12 +1,16 @@
 """A varied subset of vectors of a given size, by minimum-cost flow quotas.
 
-Every record gets two categories: its region (the nearest of some centres found by distributed
-k-means over all records) and its side (the signs of its offset from that centre along a few
-fixed random directions). Records are counted by combination of categories: at most regions x
+Every record gets two categories: its region and its side (the signs of its offset from the
+region's middle along a few fixed random directions). Regions follow the variety of the data,
+not the subset's size: the typical members of k-means clusters (the square root of the records),
+and members of the groups that these miss, as ``clusters`` finds them. Records within ``GROUP``
+of a typical member are that group's region, all others nearest to it are a region of their own,
+so that loose records do not stand for a group. Records are counted by combination of categories: at most regions x
 sides counts, whatever the number of records. The quotas of the combinations are the flow of
 least cost from a source over regions, combinations (capacity: their records) and sides to a
 sink; every region and every side has an equal share of the subset as its target, and what is
-used beyond a target costs ever more. Combinations are then filled by a deterministic rank, a
+used beyond a target costs ever more. Every region that is not empty gets one record before any
+gets more; if the subset is smaller than that, the regions with most records. Combinations are then filled by a deterministic rank, a
 hash of the id. Crowded regions are thereby held to their share, and what thin regions cannot
 fill is spread over the others evenly.
 
@@ -19,21 +23,26 @@ once. A subset as large as the table, or larger, is the table; an empty table gi
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm import vectors as V
-from vecloom.llm.clusters import _nearest, kmeans_centres
+from vecloom.llm.clusters import _Leads, _missed, _nearest, _typical, kmeans_centres
 from vecloom.session import checkpointed
 
 SALTS = 32
+#: Records so near a typical member are of its group.
+GROUP = 0.15
 
 
 def flow_quotas(counts: np.ndarray, size: int, steps: int = 4096) -> np.ndarray:
     """Quotas (regions x sides) that add up to ``size`` (or all records): flow of least cost under convex penalties for use beyond the equal share.
 
+    Each region that is not empty gets one at least, those with most records first.
     Successive shortest paths. A subset of up to ``steps`` records is solved record by record,
     a larger one in as many portions.
     """
@@ -42,7 +51,9 @@ def flow_quotas(counts: np.ndarray, size: int, steps: int = 4096) -> np.ndarray:
     quota = np.zeros_like(counts)
     regions, sides = counts.shape
     use_r, use_s = np.zeros(regions), np.zeros(sides)
-    share_r, share_s = max(size / regions, 1e-9), max(size / sides, 1e-9)
+    held = counts.sum(1)
+    first = 1e9 * (1 + held / max(1, held.max(initial=0)))  # above any penalty
+    share_r, share_s = max(size / max(1, np.count_nonzero(held)), 1e-9), max(size / sides, 1e-9)
 
     def marginal(use: np.ndarray, share: float, amount: float) -> np.ndarray:
         # overuse costs its square; a small cost of use itself keeps targets even below the share
@@ -51,9 +62,11 @@ def flow_quotas(counts: np.ndarray, size: int, steps: int = 4096) -> np.ndarray:
 
     placed = 0
     while placed < size:
-        amount = min(max(1, size // steps), size - placed)
+        waiting = (use_r < 1) & (held > 0)
+        amount = 1 if waiting.any() else min(max(1, size // steps), size - placed)
         start, end = marginal(use_r, share_r, amount), marginal(use_s, share_s, amount)
         room, back = counts - quota, quota
+        start = start - np.where(waiting, first, 0)
         dist_r, from_r = start.copy(), np.full(regions, -1)
         dist_s, from_s = np.full(sides, np.inf), np.full(sides, -1)
         while True:
@@ -86,14 +99,17 @@ def flow_quotas(counts: np.ndarray, size: int, steps: int = 4096) -> np.ndarray:
     return quota
 
 
-def _categories(vecs: DataFrame, dim: int, centres: np.ndarray, bits: int) -> DataFrame:
+def _categories(vecs: DataFrame, dim: int, leads: _Leads, bits: int) -> DataFrame:
+    points, group, centres = leads.points, leads.group, leads.centres
     directions = np.random.default_rng(7).standard_normal((dim, bits)).astype("f4")
     offsets = centres @ directions
     powers = 1 << np.arange(bits)
 
     def work(ids: np.ndarray, x: np.ndarray):
-        region, d = _nearest(x, centres)
+        lead, d = _nearest(x, points)
+        region = group[lead]
         side = ((x @ directions > offsets[region]) * powers).sum(1)
+        region = np.where(d <= GROUP, region, region + len(centres))
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(region, pa.int32()), pa.array(side, pa.int32())], names=["id", "region", "side"])
 
     return vecs.mapInArrow(V.per_rows(work, dim), "id long, region int, side int").groupBy("id").agg(F.min(F.struct("region", "side")).alias("c")).select("id", "c.region", "c.side")
@@ -108,11 +124,13 @@ def varied_subset(df: DataFrame, id_col: str, vec_col: str, size: int | None = N
     size = max(64, int(n * share)) if size is None else size
     if not n or size <= 0:
         return spark.createDataFrame([], empty)
-    centres, _ = kmeans_centres(vecs, dim, regions or int(np.clip(size // 4, 8, 512)), lloyd=1)
+    centres, _ = kmeans_centres(vecs, dim, regions or max(8, math.ceil(math.sqrt(n))), lloyd=1)
     if not len(centres):
         return spark.createDataFrame([], empty)
-    known = checkpointed(_categories(vecs, dim, centres, bits))
-    counts = np.zeros((len(centres), 1 << bits), "i8")
+    typical = _typical(vecs, dim, centres)
+    leads = _Leads.of(np.vstack([typical, _missed(vecs, dim, centres, typical, GROUP)]), GROUP)
+    known = checkpointed(_categories(vecs, dim, leads, bits))
+    counts = np.zeros((2 * len(leads.centres), 1 << bits), "i8")
     for r in known.groupBy("region", "side").agg(F.count("*").alias("n")).collect():  # regions x sides rows at most
         counts[r["region"], r["side"]] = r["n"]
     quota = flow_quotas(counts, size)

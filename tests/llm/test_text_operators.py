@@ -1,6 +1,7 @@
 """Frequencies, look-alikes, reformatted duplicates, leakage, truncation: edge cases, brute force, SQL."""
 
 import json
+import random
 import re
 import string
 
@@ -238,3 +239,31 @@ def test_spikes(spark):
     assert by["free"] == (300, 0) and by[None] == (2, 0) and by["bytes"] == (100, 50) and by["chars"][1] >= 100  # headings at the limit too
     two = truncation.truncation_of_columns(df.withColumn("title", F.col("text")), "id", "source", ["text", "title"])
     assert two.count() == 8
+
+
+def test_planted_runs_at_every_offset(spark, small):
+    rng = random.Random(3)
+    items = spark.read.parquet(f"{small}/eval_items.parquet")
+    documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    fill = " ".join(r["text"] for r in documents.where("length(text) > 3000").orderBy("doc_id").limit(5).collect()).split()
+    planted, rows = set(), []
+    for r in items.orderBy("item_id").limit(12).collect():
+        words = " ".join(leakage.lines_of(r["passage"])).split()
+        starts = {}
+        for i in range(len(words) - 1):
+            starts.setdefault((words[i], words[i + 1]), []).append(i)
+        for at in range(len(words) - 19):
+            run = words[at : at + 20]
+            long = [i for i in range(20) if len(run[i]) >= 4]
+            for i in rng.sample(long, min(6, len(long))):  # one letter each
+                c = rng.randrange(len(run[i]))
+                run[i] = run[i][:c] + rng.choice("xzqkvj") + run[i][c + 1 :]
+            begin = rng.randrange(len(fill) - 100)
+            text = fill[begin : begin + 40 + at % 5] + run + fill[begin + 50 : begin + 100]
+            if leakage.longest_run(words, text, set(), leakage.Matcher(), starts) >= 20:
+                planted.add((10**9 + len(rows), r["item_id"]))
+                rows.append((10**9 + len(rows), " ".join(text)))
+    assert len(planted) > 100
+    both = documents.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(both, "doc_id", "text", items, "item_id", "passage").collect()}
+    assert not planted - found

@@ -7,7 +7,9 @@ gives the latent space: one pass over the whole corpus counts document frequenci
 multiplies the passages' Gram matrix with a random test matrix, partition by partition, and
 the sums are added up; from an orthonormal basis of the weighted product and the small core
 matrix that product and test matrix determine come the leading right singular vectors. A second pass projects the passages and takes as candidates all
-pairs of document and item with a cosine of ``min_cosine`` or more in that space. A passage
+pairs of document and item with a cosine of ``min_cosine`` or more in that space; an item has a
+passage from each of its words on. The bound is low, for a run shares as few as 18 words with the
+document's nearest passage, and misread ones among them count as nothing. A passage
 whose projection is shorter than ``INFORMATIVE`` times that of the item passage with the
 shortest one holds too few of the items' words to be compared and is passed over.
 
@@ -43,7 +45,7 @@ RANK = 96
 #: Columns of the test matrix beyond the rank.
 OVERSAMPLE = 32
 #: A document's passage takes part if its projection is so long, as a share of the shortest of an item passage.
-INFORMATIVE = 0.6
+INFORMATIVE = 0.3
 
 _BROKEN = re.compile(r"[-=¬‐­–][ \t]*\n\s*")
 _SIGNS = re.compile(r"[^\w\s]+|_+")
@@ -277,7 +279,7 @@ def _leaks_of_block(texts: DataFrame, rows: list[tuple[int, str]], min_words: in
     for k, words in enumerate(items.words):
         codes = [items.vocabulary[w] for w in words]
         last = max(0, len(codes) - BLOCK * BLOCKS)
-        for at in sorted({*range(0, last, BLOCK), last}):
+        for at in range(last + 1):
             piece = codes[at : at + BLOCK * BLOCKS]
             vectors.append(projection[piece].sum(0))
             owners.append(k)
@@ -325,7 +327,7 @@ def _leaks_of_block(texts: DataFrame, rows: list[tuple[int, str]], min_words: in
     return texts.mapInArrow(search, kind)
 
 
-def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, min_cosine: float = 0.8, rank: int = RANK) -> DataFrame:
+def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, min_cosine: float = 0.45, rank: int = RANK) -> DataFrame:
     """``(doc_id, item_id, words, cosine)``: the documents that hold at least ``min_words`` consecutive words of an item, with the longest run and the best cosine."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
     texts = spread(texts)

@@ -1,3 +1,6 @@
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from against_sql import compare
 
@@ -20,3 +23,12 @@ def test_entry(spark, small):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["query_id", "rank", "id", "dist"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_distances_of_a_large_table(spark, tmp_path):
+    n = (1 << 20) + 7
+    x = np.stack([np.ones(n), np.arange(n) / n], 1).astype("f4")
+    vecs = pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype="i4"), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(n), "label": np.zeros(n, "i4"), "embedding": vecs}), tmp_path / "embeddings.parquet")
+    far = catalog.queries()["dists_to_first"](spark, str(tmp_path)).selectExpr("count(*) as n", "max_by(id, dist) as far", "max(dist) as dist").first()
+    assert far["n"] == n and abs(far["dist"] - (1 - 1 / 2**0.5)) < 1e-5

@@ -218,9 +218,10 @@ def knn_within_label(spark, sf):
     return _ranked(exact.knn_by(_asked(e).withColumnRenamed("id", "query_id"), e, 5, V.angular_any, "label"))
 
 
-def _edges(spark, sf, k: int = 20) -> DataFrame:
+def _edges(spark, sf, k: int = 20, whole: bool = False) -> DataFrame:
+    """Edges of the nodes that the SQL asks for, or of the whole graph."""
     e = _elements(spark, sf)
-    return exact.edges_of(exact.knn(_asked(e), e, k, exclude_self=True))
+    return exact.edges_of(exact.knn(e if whole else _asked(e), e, k, exclude_self=True))
 
 
 _EDGES = f"""{_ELEMENTS}, r AS (
@@ -232,18 +233,18 @@ sym AS (SELECT DISTINCT node, nbr FROM (SELECT node, nbr FROM edges UNION ALL SE
 
 
 @_query(f"WITH {_EDGES} SELECT node, nbr FROM sym")
-def knn_graph_symmetric(spark, sf):
-    return exact.symmetrized(_edges(spark, sf)).select("node", "nbr")
+def knn_graph_symmetric(spark, sf, whole: bool = False):
+    return exact.symmetrized(_edges(spark, sf, whole=whole)).select("node", "nbr")
 
 
 @_query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM sym GROUP BY node")
-def knn_graph_degrees(spark, sf):
-    return exact.symmetrized(_edges(spark, sf)).groupBy("node").agg(F.count("*").alias("degree"))
+def knn_graph_degrees(spark, sf, whole: bool = False):
+    return exact.symmetrized(_edges(spark, sf, whole=whole)).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def _candidates(spark, sf, k: int = 50) -> DataFrame:
+def _candidates(spark, sf, k: int = 50, whole: bool = False) -> DataFrame:
     e = _elements(spark, sf).select(F.col("id").alias("eid"), F.col("vec").cast("array<double>").alias("v"))
-    edges = _edges(spark, sf, k).join(e, F.col("nbr") == F.col("eid"))
+    edges = _edges(spark, sf, k, whole).join(e, F.col("nbr") == F.col("eid"))
     return edges.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("dist").alias("d"), F.col("nbr").alias("id"), "v"))).alias("cand"))
 
 
@@ -252,27 +253,27 @@ cand AS (SELECT node, list({{d: dist, id: nbr, v: x.vec}} ORDER BY dist, nbr) AS
 kept AS (SELECT node, list_reduce(list_transform(c, lambda x: [x]), lambda acc, y:
   CASE WHEN len(acc) < 10 AND len(list_filter(acc, lambda n: y[1].d > {_cos_sql('n.v', 'y[1].v')})) = 0 THEN list_concat(acc, y) ELSE acc END) AS s FROM cand)
 SELECT node, unnest(list_transform(s, lambda x: x.id)) AS id, CAST(unnest(range(len(s))) AS INTEGER) AS pos FROM kept""")
-def select_neighbors_10(spark, sf):
-    kept = _candidates(spark, sf).select("node", exact.select_neighbors(F.col("cand"), 10).alias("s"))
+def select_neighbors_10(spark, sf, whole: bool = False):
+    kept = _candidates(spark, sf, whole=whole).select("node", exact.select_neighbors(F.col("cand"), 10).alias("s"))
     return kept.select("node", F.posexplode("s").alias("pos", "e")).select("node", F.col("e.id").alias("id"), "pos")
 
 
 @_query(f"""WITH {_EDGES} SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY nbr) - 1 AS INTEGER) AS pos,
   nbr - coalesce(lag(nbr) OVER (PARTITION BY node ORDER BY nbr), 0) AS delta FROM edges""")
-def neighbors_delta_long(spark, sf):
-    lists = exact.capped(_edges(spark, sf), 20)
+def neighbors_delta_long(spark, sf, whole: bool = False):
+    lists = exact.capped(_edges(spark, sf, whole=whole), 20)
     return lists.select("node", F.posexplode(V.delta_encode(F.col("neighbors"))).alias("pos", "delta"))
 
 
 @_query(f"WITH {_EDGES} SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY nbr) - 1 AS INTEGER) AS pos, nbr FROM edges")
-def neighbors_roundtrip(spark, sf):
-    lists = exact.capped(_edges(spark, sf), 20)
+def neighbors_roundtrip(spark, sf, whole: bool = False):
+    lists = exact.capped(_edges(spark, sf, whole=whole), 20)
     return lists.select("node", F.posexplode(V.delta_decode(V.delta_encode(F.col("neighbors")))).alias("pos", "nbr"))
 
 
 @_query(f"WITH {_EDGES} SELECT node, nbr FROM edges WHERE nbr % 2 = 0")
-def neighbors_filtered(spark, sf):
-    lists = exact.capped(_edges(spark, sf), 20)
+def neighbors_filtered(spark, sf, whole: bool = False):
+    lists = exact.capped(_edges(spark, sf, whole=whole), 20)
     return lists.select("node", F.explode(F.filter("neighbors", lambda x: x % 2 == 0)).alias("nbr"))
 
 
@@ -326,11 +327,25 @@ def permute_vectors(spark, sf):
 
 
 @_query(f"WITH {_EDGES}, {_PERM} SELECT a.new_id AS node, b.new_id AS nbr FROM edges JOIN perm a ON a.old_id = node JOIN perm b ON b.old_id = nbr")
-def reordered_neighbors(spark, sf):
-    lists = exact.capped(_edges(spark, sf), 20)
+def reordered_neighbors(spark, sf, whole: bool = False):
+    lists = exact.capped(_edges(spark, sf, whole=whole), 20)
     return reorder.reordered_graph(lists, _perm(spark, sf)).select("node", F.explode("neighbors").alias("nbr"))
 
 
+def _of_whole_graph(query):
+    """The query over the graph of all nodes, each with edges of its own: all pairs, too slow for SQL."""
+
+    def run(spark, sf):
+        return query(spark, sf, whole=True)
+
+    run.__name__ = f"{query.__name__}_whole"
+    return run
+
+
+for _part in (knn_graph_symmetric, knn_graph_degrees, select_neighbors_10, neighbors_delta_long, neighbors_roundtrip, neighbors_filtered, reordered_neighbors):
+    _query()(_of_whole_graph(_part))
+
+
 @_query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings)
 SELECT CAST(vec_id // CAST(ceil(n / {SHARDS}) AS BIGINT) AS INTEGER) AS shard, min(vec_id) AS first_id, max(vec_id) AS last_id, count(*) AS n FROM embeddings, n GROUP BY 1""")
 def shard_ranges(spark, sf):

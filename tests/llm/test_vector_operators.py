@@ -135,6 +135,20 @@ def test_pairs_across_shards(spark, data):
     assert pairs == {(min(i, j), max(i, j)) for i in range(len(x)) for j in want[i].tolist() if s[i, j] >= 0.997}
 
 
+def test_near_vectors_visit_each_other(spark):
+    x = unit(np.random.default_rng(6).standard_normal((1500, 3))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    routes = neighbours.fitted_routes(df, 3, len(x), 100)
+    home, at = {}, {}
+    for r in neighbours._routed(df, 3, routes, 10, 4, 0.003).where("shard >= 0").select("id", "shard", "home").collect():
+        at.setdefault(r["id"], set()).add(r["shard"])
+        if r["home"]:
+            home[r["id"]] = r["shard"]
+    near = np.argwhere(x @ x.T >= 0.997)
+    assert any(home[i] != home[j] for i, j in near.tolist())
+    assert all(home[j] in at[i] for i, j in near.tolist())
+
+
 def test_pairs_of_tables(spark, small):
     got = {tuple(r) for r in queries.p2_found(spark, small).collect()}
     want = set()

@@ -5,7 +5,7 @@ Routing: centres (about the square root of the rows) are fitted on a bounded sam
 repeated halving. Every row is a member of the shard of its nearest centre and a visitor of
 other shards whose nearest centre is about as near: at most ``visits`` of them, or, where only
 neighbours within a given distance are asked for, every shard that can hold one (of two such
-vectors in different shards at least one visits the other). Each shard is one task: it builds
+vectors in different shards each visits the other's). Each shard is one task: it builds
 the graph over its members and searches it for members and visitors (see ``graph``). The
 results of a row's shards are merged.
 
@@ -112,7 +112,7 @@ _ROUTED = "shard int, home boolean, id long, rep long, vec binary, copies array<
 
 def _routed(vecs: DataFrame, dim: int, routes: Routes, k: int, visits: int, within: float | None) -> DataFrame:
     """Rows for the shards; exact copies within a batch as links (shard -1) to the one that is sent."""
-    slack = VISIT_ANGLE if within is None else math.acos(max(-1.0, 1 - within)) + 1e-3
+    slack = VISIT_ANGLE if within is None else 2 * math.acos(max(-1.0, 1 - within)) + 1e-3
 
     def work(ids: np.ndarray, x: np.ndarray):
         keys = np.ascontiguousarray(x).view(f"V{4 * dim}").ravel()

@@ -62,6 +62,18 @@ def test_groups_that_seeding_misses(spark, data):
     assert got.groupBy("lead_id").count().count() == 6
 
 
+def test_groups_missed_in_a_crowded_cell(spark):
+    x = grouped(groups=20, members=8, loose=8000, dim=24, seed=9)
+    rows = [(i, x[i].tolist()) for i in np.random.default_rng(1).permutation(len(x)).tolist()]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        found = clusters._missed(df, 24, x[-1:], np.empty((0, 24), "f4"), 0.15)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((x[8 * g : 8 * g + 8] @ found.T >= 0.85).any() for g in range(20))
+
+
 def test_chain_is_no_group(spark):
     angles = np.linspace(0, 1.2, 40)
     x = np.stack([np.cos(angles), np.sin(angles)], 1).astype("f4")

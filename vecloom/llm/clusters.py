@@ -14,7 +14,7 @@ farther away, so the vectors within ``limit`` of any one member are the whole gr
 vector is held against the typical members, and those of one group are recognised by lying
 within ``limit`` of each other. A vector that is near some but not all typical members of a
 group shows that it is no such set, and it is dropped. Vectors near no typical member are then
-compared with each other within the cells of their two nearest centres, in blocks, and where
+compared with each other, all of a cell, within the cells of their two nearest centres, and where
 ``RESIDUAL`` or more lie together, one becomes a further typical member: a group that the
 seeding missed. All of them take part in one last pass.
 
@@ -37,8 +37,8 @@ from vecloom.session import checkpointed
 
 #: Vectors near no typical member that lie together before one is taken for a member of a missed group.
 RESIDUAL = 4
-#: Vectors of a cell that are compared with each other at once.
-CELL_BLOCK = 2048
+#: Comparisons of a cell's vectors that are held at once.
+CELL_BLOCK = 2048 * 2048
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,13 +253,18 @@ def _missed(vecs: DataFrame, dim: int, centres: np.ndarray, leads: np.ndarray, l
 
     def together(batches):
         def seeds(x: np.ndarray) -> list[np.ndarray]:
-            near = (x @ x.T) >= 1 - limit
-            count, out = near.sum(1), []
-            while len(count) and count.max() >= RESIDUAL:
+            def among(y: np.ndarray) -> np.ndarray:
+                """How many of ``y`` each vector is near, in blocks."""
+                step = max(1, CELL_BLOCK // max(1, len(y)))
+                return np.concatenate([((x[at : at + step] @ y.T) >= 1 - limit).sum(1) for at in range(0, len(x), step)])
+
+            count, out = among(x), []
+            while count.max() >= RESIDUAL:
                 i = int(count.argmax())
                 out.append(x[i])
-                gone = near[i].copy()
-                count = count - near[:, gone].sum(1)
+                gone = (x @ x[i]) >= 1 - limit
+                gone[i] = True
+                count = count - among(x[gone])
                 count[gone] = 0
             return out
 
@@ -270,7 +275,7 @@ def _missed(vecs: DataFrame, dim: int, centres: np.ndarray, leads: np.ndarray, l
             own = b.column("id").to_numpy()
             cuts = np.append(np.flatnonzero(np.diff(cells, prepend=cells[0] - 1)), len(cells))
             for a, z in zip(cuts[:-1], cuts[1:]):
-                if cells[a] != cell or len(ids) >= CELL_BLOCK:
+                if cells[a] != cell:
                     if found := seeds(_one_each(ids, rows)) if rows else []:
                         yield pa.record_batch([V.packed(np.array(found))], names=["vec"])
                     cell, ids, rows = cells[a], [], []

@@ -229,3 +229,45 @@ def test_hashed_features(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["c"]), (4, []), (5, None), (None, ["a"])], "id long, terms array<string>")
     got = {r["id"]: list(r["vec"]) for r in vectors.hashed_features(df, "id", "terms", 16).collect()}
     assert set(got) == {1, 2, 3} and got[1] == got[2] != got[3] and len(got[1]) == 16
+
+
+def test_the_graph_decides_what_is_found():
+    rng = np.random.default_rng(1)
+    x = unit(rng.standard_normal((2000, 16))).astype("f4")
+    built = graph.ShardGraph(x)
+    want, _ = truth(x, 10)
+    hits = lambda ids: np.mean([len(set(a.tolist()) & set(b.tolist())) / 10 for a, b in zip(ids, want)])
+    assert hits(built.nearest(None, 10)[0]) > 0.95
+    edges = built.edges.pruned
+    assert (edges != graph.NONE).sum(1).max() <= graph.DEGREE and not (edges == np.arange(2000)[:, None]).any()
+    built.edges = graph.Edges(2000, graph.DEGREE)
+    assert (built.nearest(None, 10)[0] == graph.NONE).all()  # no edges: nothing is reached
+
+
+def test_crowded_shards_are_divided_and_dealt(spark, monkeypatch):
+    x = grouped(groups=3, members=300, loose=100, dim=16, seed=5)
+    monkeypatch.setattr(neighbours, "SEARCH_ROWS", 60)
+    df = frame(spark, np.vstack([x, np.repeat(x[:1], 400, axis=0)]))
+    vecs = vectors.selected(df, "id", "vec")
+    dim, n = vectors.dimension_and_count(vecs)
+    routes = neighbours.Routes(x[[0, 300, 600]], np.arange(3), 3)  # one centre to a group: no halving
+    deal = neighbours._expected(x, routes, n, None, None, 15)
+    assert deal.divided.max() > 4 and deal.copies.max() > 1 and deal.tasks == (deal.divided * deal.copies).sum()
+    rows = neighbours._routed(vecs, dim, routes, 5, None, None, deal)
+    per = {(r["unit"], r["kind"]): r["n"] for r in rows.groupBy("unit", "kind").count().withColumnRenamed("count", "n").collect()}
+    assert max(n for (_, kind), n in per.items() if kind <= neighbours.HELD) < 300
+    monkeypatch.setattr(neighbours, "_fitted", lambda *a: routes)
+    found = {}
+    for r in neighbours.nearest(df, "id", "vec", k=5, shard_rows=15, complete=False).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append(r["dist"])
+    whole = np.vstack([x, np.repeat(x[:1], 400, axis=0)])
+    want, s = truth(whole, 5)
+    assert set(found) == set(range(len(whole)))
+    assert np.mean([np.allclose(found[i], np.maximum(0, 1 - s[i, want[i]]), atol=3e-6) for i in found]) > 0.95
+
+
+@pytest.mark.parametrize("shard_rows", [400, 100])
+def test_recall_over_shards(spark, data, shard_rows):
+    df = frame(spark, data)
+    found = neighbours.nearest(df, "id", "vec", k=10, shard_rows=shard_rows, complete=False)
+    assert neighbours.recall(df, "id", "vec", found, k=10, every=3) >= 0.9

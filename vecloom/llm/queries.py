@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return _union({tab: neighbours.nearest(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()})
+    return _union({tab: neighbours.nearest(table(spark, sf, tab), key, "vec", complete=False) for tab, key in VECTOR_TABLES.items()})
 
 
 # --- 3: frequency of every term ---------------------------------------------------------

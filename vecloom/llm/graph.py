@@ -23,9 +23,9 @@ from __future__ import annotations
 import numpy as np
 
 ALPHA = 1.2
-DEGREE = 24
+DEGREE = 16
 #: Entries of a search list while the graph is built, and when it is searched.
-POOL, BEAM = 48, 32
+POOL, BEAM = 32, 32
 #: A row's entries that one step expands.
 WIDTH = 4
 #: Nodes that are inserted first; searches for rows that are no nodes start at them.

@@ -267,3 +267,22 @@ def test_planted_runs_at_every_offset(spark, small):
     both = documents.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(both, "doc_id", "text", items, "item_id", "passage").collect()}
     assert not planted - found
+
+
+def test_paraphrases(spark):
+    words = PASSAGE.split()
+    changed = " ".join({"over": "across", "while": "as"}.get(w, w) for w in words)  # no run of 20 words, most words in their order
+    docs = [(1, NOISE + changed + " " + NOISE), (2, NOISE * 3), (3, NOISE + PASSAGE), (4, " ".join(sorted(words)))]
+    docs += [(10 + i, NOISE + "walks over while bridge the") for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id int, passage string")
+    rows = leakage.paraphrased_passages(df, "doc_id", "text", items, "item_id", "passage").collect()
+    assert [(r["doc_id"], r["item_id"]) for r in rows] == [(1, 1)] and rows[0]["words"] < 20 and rows[0]["common"] > 0.7
+    assert leakage.common_subsequence("a b c d".split(), "x b a d".split()) == 2 and leakage.common_subsequence(["a"], []) == 0
+
+
+def test_blocks_of_items_are_bounded():
+    rows = [{"item_id": i, "passage": " ".join(f"w{i}x{j}" for j in range(40))} for i in range(1200)]
+    blocks = list(leakage._item_blocks(iter(rows)))
+    assert len(blocks) == 3 and sum(len(b.ids) for b in blocks) == 1200
+    assert all(len(b.vocabulary) <= leakage.VOCABULARY for b in blocks)

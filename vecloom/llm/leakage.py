@@ -1,25 +1,34 @@
 """Held-out passages that occur in a corpus.
 
-Latent semantic retrieval. Every document is read as overlapping passages of 20 words
-(blocks of five words, four to a passage), each a TF-IDF vector over the words of the held-out
-items (weight: the square of the inverse document frequency's logarithm). A randomised SVD
+Latent semantic retrieval. Every document is read as overlapping passages of 15 words
+(blocks of five words, three to a passage: a run of 20 words always holds a whole one), each a TF-IDF
+vector over the words of the held-out items (weight: the square of the inverse document
+frequency's logarithm). A randomised SVD
 gives the latent space: one pass over the whole corpus counts document frequencies and
 multiplies the passages' Gram matrix with a random test matrix, partition by partition, and
 the sums are added up; from an orthonormal basis of the weighted product and the small core
 matrix that product and test matrix determine come the leading right singular vectors. A second pass projects the passages and takes as candidates all
 pairs of document and item with a cosine of ``min_cosine`` or more in that space; an item has a
-passage from each of its words on. The bound is low, for a run shares as few as 18 words with the
-document's nearest passage, and misread ones among them count as nothing. A passage
+passage from every fifth of its words on. The bound is low, for misread words count as nothing. A passage
 whose projection is shorter than ``INFORMATIVE`` times that of the item passage with the
 shortest one holds too few of the items' words to be compared and is passed over.
 
-Each candidate is then checked word by word: the longest run of consecutive words of the item
-that the document holds, walked from every pair of neighbouring words that both share, where
-words broken at line ends are joined and misread letters are tolerated. The run decides;
-wording that is only similar never does, so that an answer check has nothing left to decide.
+Each candidate is then checked word by word. First a bound on the longest common subsequence of the
+two passages: the document's words that the item has within ``BAND`` places of the same place; below
+``MATCHED`` words no run with a few misread words is possible. Then:
 
-The items are the query set. They are sent to every task in blocks of ``ITEM_BLOCK`` items
-(a bound on what is broadcast); there is one pass over the documents per block.
+ - the longest run of consecutive words of the item that the document holds, walked from every
+   pair of neighbouring words that both share, where words broken at line ends are joined and
+   misread letters are tolerated;
+ - the longest common subsequence of the item and the stretch of the document around the
+   passage, in words, and the answer check: how many of the item's ``ANSWER`` words of greatest
+   weight the stretch holds.
+
+The run decides for ``leaked_passages``; subsequence and answer check decide for paraphrases
+(``paraphrased_passages``), which have no such run.
+
+The items are the query set. They are sent to every task in blocks whose vocabulary and passages
+are bounded (``VOCABULARY``, ``PASSAGES``), and compared some thousand passages at a time; there is one pass over the documents per block.
 
 Nulls: null ids, documents or passages take no part; a text that is empty or too short holds
 no item. Rows that share an id count once (the longest run of them).
@@ -38,17 +47,29 @@ from pyspark.sql import functions as F
 
 from vecloom.session import spread
 
-#: Items whose words and vectors are sent to the tasks at once.
-ITEM_BLOCK = 20_000
-BLOCK, BLOCKS = 5, 4
+#: Different words, and passages, of the items that are sent to the tasks at once (unless one item alone has more).
+VOCABULARY, PASSAGES = 20_000, 60_000
+BLOCK, BLOCKS = 5, 3
+#: Words of a passage, and from one passage of an item to the next.
+PASSAGE, STEP = BLOCK * BLOCKS, 5
+#: Passages of items, and of documents, that are compared at once.
+COMPARED, ROWS = 8192, 1024
+#: Places by which a common word may be off: half a step, and words that a line end breaks.
+BAND = 4
+#: Of a document's passage, and of it with a block on either side (which hold all of a run of 20 words around it), the words that
+#: the item must have in their places, and the pairs of neighbours among them: what runs with up to 8 misread words have, less one or more.
+MATCHED, MATCHED_AROUND, NEIGHBOURS = 6, 10, 3
+#: Words of an item by which the answer check goes.
+ANSWER = 5
 RANK = 96
 #: Columns of the test matrix beyond the rank.
 OVERSAMPLE = 32
 #: A document's passage takes part if its projection is so long, as a share of the shortest of an item passage.
 INFORMATIVE = 0.3
+#: The least cosine of a candidate, and of one that may be a paraphrase.
+MIN_COSINE, PARAPHRASE = 0.42, 0.7
 
 _BROKEN = re.compile(r"[-=¬‐­–][ \t]*\n\s*")
-_SIGNS = re.compile(r"[^\w\s]+|_+")
 
 # Letters and signs that are misread for one another, each written as the last of its group.
 _MISREAD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("0", "o"), ("1", "l"), ("i", "l"), ("!", "l"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("q", "g"), ("c", "e"), ("f", "t"), ("h", "b"), ("n", "u"), ("a", "o")]
@@ -56,7 +77,11 @@ _MISREAD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("0", "o"), ("1"
 
 def lines_of(text: str) -> list[str]:
     """The lines in lower case without signs; a word that a mark breaks at a line end is whole, on the first of the two lines."""
-    return _SIGNS.sub("", _BROKEN.sub("", text.lower())).split("\n")
+    text = _BROKEN.sub("", text.lower())
+    for sign in set(text):
+        if not (sign.isalnum() or sign.isspace()):
+            text = text.replace(sign, "")
+    return text.split("\n")
 
 
 def _folded(word: str) -> str:
@@ -102,15 +127,16 @@ class Matcher:
         return got
 
 
-def longest_run(item: list[str], doc: list[str], at_line_end: set[int], same: Matcher, starts: dict[tuple[str, str], list[int]]) -> int:
+def longest_run(item: list[str], doc: list[str], at_line_end: set[int], same: Matcher, starts: dict[tuple[str, str], list[int]], tried: list[int] | None = None) -> int:
     """Most consecutive words of the item that the document holds.
 
     ``at_line_end``: places of words that a line ends after; each may be the first half of a broken
-    word. ``starts``: places of each pair of neighbouring words in the item.
+    word. ``starts``: places of each pair of neighbouring words in the item. ``tried``: the document's
+    places to walk from (default: all), among them all with such a pair.
     """
     best, done = 0, set()
     n, m = len(item), len(doc)
-    for j in range(m - 1):
+    for j in range(m - 1) if tried is None else tried:
         for i in starts.get((doc[j], doc[j + 1]), ()):
             if (i, j) in done:
                 continue
@@ -135,6 +161,20 @@ def longest_run(item: list[str], doc: list[str], at_line_end: set[int], same: Ma
     return best
 
 
+def common_subsequence(item: list[str], doc: list[str]) -> int:
+    """The length of the longest common subsequence, in words: the item's places are bits of one number."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << i
+    every = (1 << len(item)) - 1
+    row = every
+    for w in doc:
+        if hit := places.get(w):
+            x = row & hit
+            row = ((row + x) | (row - x)) & every
+    return len(item) - row.bit_count()
+
+
 @dataclass
 class _Items:
     """What the tasks need of one block of items."""
@@ -241,8 +281,8 @@ def _sketch(texts: DataFrame, items: _Items, rank: int) -> tuple[int, np.ndarray
     return sum(r["total"] for r in parts), sum(np.frombuffer(r["df"], "i8") for r in parts), sum(np.frombuffer(r["product"], "f8") for r in parts).reshape(size, rank)
 
 
-def _latent_space(texts: DataFrame, items: _Items, rank: int) -> np.ndarray:
-    """The projection (words x rank), the words' weights included."""
+def _latent_space(texts: DataFrame, items: _Items, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The projection (words x rank), the words' weights included, and the weights."""
     size = len(items.vocabulary)
     width = max(1, min(rank + OVERSAMPLE, size))
     total, df, product = _sketch(texts, items, width)
@@ -253,7 +293,7 @@ def _latent_space(texts: DataFrame, items: _Items, rank: int) -> np.ndarray:
     core = (basis.T @ image) @ np.linalg.pinv(basis.T @ tested)
     _, turn = np.linalg.eigh((core + core.T) / 2)
     leading = basis @ turn[:, ::-1][:, : min(rank, width)]  # right singular vectors of A, greatest first
-    return (weights[:, None] * leading).astype("f4")
+    return (weights[:, None] * leading).astype("f4"), weights
 
 
 def _windows(codes: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -269,27 +309,86 @@ def _windows(codes: np.ndarray, projection: np.ndarray) -> np.ndarray:
     return whole
 
 
-def _leaks_of_block(texts: DataFrame, rows: list[tuple[int, str]], min_words: int, min_cosine: float, rank: int) -> DataFrame:
-    items = _Items.of(rows)
-    kind = "doc_id long, item_id long, words int, cosine float"
+class _Passages:
+    """The items' passages: unit vectors, the item of each, and its words (codes) with a block and a band on either side."""
+
+    def __init__(self, items: _Items, projection: np.ndarray, weights: np.ndarray):
+        vectors, owners, around = [], [], []
+        for k, words in enumerate(items.words):
+            codes = np.array([items.vocabulary[w] for w in words], "i4")
+            last = max(0, len(codes) - PASSAGE)
+            padded = np.full(len(codes) + PASSAGE + 2 * (BLOCK + BAND), -3, "i4")
+            padded[BLOCK + BAND :][: len(codes)] = codes
+            for at in sorted({*range(0, last + 1, STEP), last}):
+                vectors.append(projection[codes[at : at + PASSAGE]].sum(0))
+                owners.append(k)
+                around.append(padded[at : at + PASSAGE + 2 * (BLOCK + BAND)])
+        vectors = np.asarray(vectors, "f4")
+        norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+        self.unit, self.owner, self.around = vectors / norms[:, None], np.asarray(owners), np.asarray(around)
+        self.least = INFORMATIVE * float(norms.min())
+        self.words = len(items.vocabulary)
+        codes = [np.array([items.vocabulary[w] for w in words], "i8") for words in items.words]
+        self.pairs = np.unique(np.concatenate([c[:-1] * self.words + c[1:] for c in codes]))
+        self.answers = [sorted(set(words), key=lambda w: (-weights[items.vocabulary[w]], w))[:ANSWER] for words in items.words]
+
+    def paired(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each word and the next are neighbours in some item."""
+        out = np.zeros(len(codes), bool)
+        if len(self.pairs) and len(codes) > 1:
+            pair = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1].astype("i8") * self.words + codes[1:], -1)
+            out[:-1] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+        return out
+
+    def candidates(self, codes: np.ndarray, projection: np.ndarray, block_doc: np.ndarray, min_cosine: float) -> dict[tuple[int, int], tuple[float, int]]:
+        """For each pair of document and item with passages that are near each other and share words in their places: the best cosine and the document's block."""
+        part = _windows(codes, projection)
+        norm = np.sqrt(np.einsum("ij,ij->i", part, part))
+        width = PASSAGE + 2 * BLOCK
+        words = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(BLOCK, -2, "i4"), codes, np.full(PASSAGE, -2, "i4")]), width)[::BLOCK]
+        known = (words[:, BLOCK : BLOCK + PASSAGE] >= 0).sum(1)
+        strong = np.flatnonzero((norm >= self.least) & (known >= MATCHED))
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for at in range(0, len(strong), ROWS):
+            some = strong[at : at + ROWS]
+            x, own = part[some] / norm[some, None], words[some]
+            for first in range(0, len(self.unit), COMPARED):
+                cosine = x @ self.unit[first : first + COMPARED].T
+                w, v = np.divmod(np.flatnonzero(cosine >= min_cosine), cosine.shape[1])
+                values = cosine[w, v]
+                for a in range(0, len(w), 65536):
+                    ww, vv = w[a : a + 65536], v[a : a + 65536] + first
+                    left, right = own[ww, BLOCK : BLOCK + PASSAGE], self.around[vv, BLOCK : BLOCK + PASSAGE + 2 * BAND]
+                    hit = left == right[:, :PASSAGE]
+                    for k in range(1, 2 * BAND + 1):
+                        hit |= left == right[:, k : k + PASSAGE]
+                    good = np.flatnonzero(hit.sum(1) >= MATCHED)
+                    left, right = own[ww[good]], self.around[vv[good]]
+                    hit, pairs = np.zeros(left.shape, bool), np.zeros(len(left), "i4")
+                    for k in range(2 * BAND + 1):
+                        equal = left == right[:, k : k + width]
+                        hit |= equal
+                        pairs += (equal[:, 1:] & equal[:, :-1]).sum(1, dtype="i4")
+                    good = good[(hit.sum(1) >= MATCHED_AROUND) & (pairs >= NEIGHBOURS)]
+                    blocks = some[ww[good]]
+                    for pair in zip(block_doc[blocks].tolist(), self.owner[vv[good]].tolist(), values[a + good].tolist(), blocks.tolist()):
+                        if pair[2] > best.get(pair[:2], (-1.0, 0))[0]:
+                            best[pair[:2]] = pair[2:]
+        return best
+
+
+_CHECKED = "doc_id long, item_id long, words int, cosine float, common float, answer float"
+
+
+def _leaks_of_block(texts: DataFrame, items: _Items, min_words: int, min_cosine: float, rank: int, min_common: float, min_answer: float) -> DataFrame:
+    """Candidates that have a run of ``min_words``, or the common subsequence and the answer's words of a paraphrase."""
     if not items.ids:
-        return texts.sparkSession.createDataFrame([], kind)
-    projection = _latent_space(texts, items, rank)
-    vectors, owners = [], []
-    for k, words in enumerate(items.words):
-        codes = [items.vocabulary[w] for w in words]
-        last = max(0, len(codes) - BLOCK * BLOCKS)
-        for at in range(last + 1):
-            piece = codes[at : at + BLOCK * BLOCKS]
-            vectors.append(projection[piece].sum(0))
-            owners.append(k)
-    vectors = np.asarray(vectors, "f4")
-    norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
-    least = INFORMATIVE * float(norms.min())
-    sent = texts.sparkSession.sparkContext.broadcast((items, projection, vectors / norms[:, None], np.asarray(owners), least))
+        return texts.sparkSession.createDataFrame([], _CHECKED)
+    projection, weights = _latent_space(texts, items, rank)
+    sent = texts.sparkSession.sparkContext.broadcast((items, projection, _Passages(items, projection, weights)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, projection, vectors, owners, least = sent.value
+        items, projection, passages = sent.value
         same = Matcher()
         places = []
         for words in items.words:
@@ -301,47 +400,68 @@ def _leaks_of_block(texts: DataFrame, rows: list[tuple[int, str]], min_words: in
             docs, codes, block_doc = _coded(batch, items.vocabulary)
             if not len(block_doc):
                 continue
-            part = _windows(codes, projection)
-            norm = np.sqrt(np.einsum("ij,ij->i", part, part))
-            strong = np.flatnonzero(norm >= least)
-            best: dict[tuple[int, int], float] = {}
-            for at in range(0, len(strong), 2048):
-                some = strong[at : at + 2048]
-                cosine = (part[some] / norm[some, None]) @ vectors.T
-                w, v = np.nonzero(cosine >= min_cosine)
-                pair = block_doc[some[w]] * len(items.ids) + owners[v]
-                values = cosine[w, v]
-                order = np.argsort(values, kind="stable")
-                for p, c in zip(pair[order].tolist(), values[order].tolist()):
-                    if c > best.get(p, -1.0):
-                        best[p] = c
+            first_block = np.searchsorted(block_doc, np.arange(len(docs)))
+            pairs = np.flatnonzero(passages.paired(codes))
+            cuts = np.searchsorted(pairs, np.append(first_block, len(block_doc)) * BLOCK)
+            tried: dict[int, list[int]] = {}
             out = []
-            for p, c in best.items():
-                d, k = divmod(p, len(items.ids))
-                run = longest_run(items.words[k], *docs[d], same, places[k])
-                if run >= min_words:
-                    out.append((ids[d], items.ids[k], run, c))
+            for (d, k), (cosine, block) in passages.candidates(codes, projection, block_doc, min_cosine).items():
+                item, (words, ends) = items.words[k], docs[d]
+                if d not in tried:
+                    tried[d] = [j for j in (pairs[cuts[d] : cuts[d + 1]] - first_block[d] * BLOCK).tolist() if j < len(words) - 1]
+                run = longest_run(item, words, ends, same, places[k], tried[d])
+                at = (block - int(first_block[d])) * BLOCK
+                stretch = words[max(0, at - len(item)) : at + len(item) + PASSAGE]
+                common = common_subsequence(item, stretch) / len(item) if run >= min_words or cosine >= PARAPHRASE else 0.0
+                answer = 0.0
+                if common >= min_common:
+                    held = set(stretch)
+                    answer = sum(w in held for w in passages.answers[k]) / len(passages.answers[k])
+                if run >= min_words or (common >= min_common and answer >= min_answer):
+                    out.append((ids[d], items.ids[k], run, cosine, common, answer))
             if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float32()))], names=["doc_id", "item_id", "words", "cosine"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.float32()))], names=["doc_id", "item_id", "words", "cosine", "common", "answer"])
 
-    return texts.mapInArrow(search, kind)
+    return texts.mapInArrow(search, _CHECKED)
 
 
-def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, min_cosine: float = 0.45, rank: int = RANK) -> DataFrame:
-    """``(doc_id, item_id, words, cosine)``: the documents that hold at least ``min_words`` consecutive words of an item, with the longest run and the best cosine."""
+def _item_blocks(rows: Iterator) -> Iterator[_Items]:
+    """The items in blocks of bounded vocabulary and number of passages."""
+    block: list[tuple[int, str]] = []
+    words: set[str] = set()
+    passages = 0
+    for r in rows:
+        own = " ".join(lines_of(r["passage"])).split()
+        if block and (len(words | set(own)) > VOCABULARY or passages + len(own) // STEP + 1 > PASSAGES):
+            yield _Items.of(block)
+            block, words, passages = [], set(), 0
+        block.append((r["item_id"], r["passage"]))
+        words.update(own)
+        passages += len(own) // STEP + 1
+    yield _Items.of(block)
+
+
+def checked_candidates(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, min_cosine: float = MIN_COSINE, rank: int = RANK, min_common: float = 0.5, min_answer: float = 0.6) -> DataFrame:
+    """``(doc_id, item_id, words, cosine, common, answer)``: leaked and paraphrased items of the documents, one row per pair: longest run in words, best cosine, share of the item that is a common subsequence, share of its answer's words."""
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
     texts = spread(texts)
     queries = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(passage_col).cast("string").alias("passage")).where("item_id is not null and passage is not null").distinct()
-    found, block, rows = None, [], queries.orderBy("item_id", "passage").toLocalIterator()
-    for r in rows:
-        block.append((r["item_id"], r["passage"]))
-        if len(block) == ITEM_BLOCK:
-            part = _leaks_of_block(texts, block, min_words, min_cosine, rank)
-            found, block = part if found is None else found.unionByName(part), []
-    if block or found is None:
-        part = _leaks_of_block(texts, block, min_words, min_cosine, rank)
+    found = None
+    for block in _item_blocks(queries.orderBy("item_id", "passage").toLocalIterator()):
+        part = _leaks_of_block(texts, block, min_words, min_cosine, rank, min_common, min_answer)
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("cosine").alias("cosine"))
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("words", "cosine", "common", "answer")))
+
+
+def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, **how) -> DataFrame:
+    """``(doc_id, item_id, words, cosine)``: the documents that hold at least ``min_words`` consecutive words of an item, with the longest run and the best cosine."""
+    checked = checked_candidates(documents, id_col, text_col, items, item_col, passage_col, min_words, min_common=2.0, **how)
+    return checked.select("doc_id", "item_id", "words", "cosine")
+
+
+def paraphrased_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, min_words: int = 20, **how) -> DataFrame:
+    """``(doc_id, item_id, words, cosine, common, answer)``: documents with no run of ``min_words`` words of an item, but with most of its words in their order (``min_common``) and of its answer's words (``min_answer``) in one stretch."""
+    return checked_candidates(documents, id_col, text_col, items, item_col, passage_col, min_words, **how).where(F.col("words") < min_words)
 
 
 def leaks_by_item(leaks: DataFrame, items: DataFrame, item_col: str) -> DataFrame:

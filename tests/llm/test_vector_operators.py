@@ -271,3 +271,35 @@ def test_recall_over_shards(spark, data, shard_rows):
     df = frame(spark, data)
     found = neighbours.nearest(df, "id", "vec", k=10, shard_rows=shard_rows, complete=False)
     assert neighbours.recall(df, "id", "vec", found, k=10, every=3) >= 0.9
+
+
+def test_leads_of_groups_and_chains():
+    x = grouped(groups=4, members=6, loose=5, dim=24, seed=3)
+    leads = clusters._Leads.of(x, 0.15)
+    assert len(set(leads.group[:24].tolist())) == 4 and all(len(set(leads.group[6 * g : 6 * g + 6].tolist())) == 1 for g in range(4))
+    assert not leads.broken.any() and len(leads.centres) == 9
+    angles = np.linspace(0, 1.2, 12)
+    chain = clusters._Leads.of(np.stack([np.cos(angles), np.sin(angles)], 1).astype("f4"), 0.15)
+    assert len(chain.broken) == 1 and chain.broken.all()
+
+
+def test_typical_members_are_nearest_the_centroid(spark, data):
+    found = clusters.described_groups(clusters.similarity_groups(frame(spark, data), "id", "vec"), 3).collect()
+    for r in found:
+        g = np.arange(r["lead_id"], r["lead_id"] + 40)
+        centroid = data[g].mean(0)
+        near = g[np.argsort(-(data[g] @ centroid))[:3]]
+        assert r["typical"] == near.tolist()
+
+
+def test_clusters_of_all_rows(spark, data):
+    assert clusters.clustered(frame(spark, data), "id", "vec", k=12).count() == len(data)
+    once = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vec array<float>")
+    rows = clusters.clustered(once, "id", "vec", k=12)
+    got = {r["id"]: (r["cluster"], r["d"]) for r in rows.collect()}
+    assert set(got) == set(range(len(data)))
+    where = np.array([got[i][0] for i in range(len(data))])
+    for c in np.unique(where):
+        mean = unit(data[where == c].mean(0, keepdims=True))[0]
+        assert np.allclose([got[i][1] for i in np.flatnonzero(where == c)], np.maximum(0, 1 - data[where == c] @ mean), atol=1e-5)
+    assert clusters.clustered(empty(spark), "id", "vec").count() == 0

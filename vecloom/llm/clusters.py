@@ -8,18 +8,24 @@ passes follow, each partition sending only sums. ``k`` follows the size of the t
 square root). Draws come from hashes of the ids: a rerun, or a task that runs twice, draws the
 same.
 
+Clusters (``clustered``): every vector is assigned to its nearest centroid; a cluster is described by
+its size and the members nearest its centroid. Records of terms are vectorised first, by hashed
+weighted features (``vectors.hashed_features``).
+
 Groups: in the last pass each centre gets its most typical member, the vector nearest to it.
 A group is a set of vectors that all lie within ``limit`` of each other with every other vector
-farther away, so the vectors within ``limit`` of any one member are the whole group: every
-vector is held against the typical members, and those of one group are recognised by lying
-within ``limit`` of each other. A vector that is near some but not all typical members of a
-group shows that it is no such set, and it is dropped. Vectors near no typical member are then
+farther away. Every vector is assigned to the nearest typical member; it belongs to that one's group
+if it lies within ``limit`` of it. Typical members within ``limit`` of each other are of one
+group, and a vector that is near some but not all of them, or near those of another group too,
+shows that it is no such set: it is dropped. Vectors near no typical member are then
 compared with each other, all of a cell, within the cells of their two nearest centres, and where
 ``RESIDUAL`` or more lie together, one becomes a further typical member: a group that the
-seeding missed. All of them take part in one last pass.
+seeding missed. All of them take part in the assignment. A group's members are ranked by their
+distance from the group's centroid, the mean of all its members.
 
 Nulls, zero vectors and vectors of another length (see ``vectors``) belong to no cluster; a
-table without vectors has none. Rows that share an id count once.
+table without vectors has none. Rows that share an id count once as members; in centroids, a row
+delivered twice weighs twice.
 """
 
 from __future__ import annotations
@@ -87,15 +93,23 @@ def _draw(vecs: DataFrame, dim: int, centres: np.ndarray, wanted: float, cost: f
     return np.unique(_unpack([r["vec"] for r in out if r["vec"] is not None], dim), axis=0), sum(r["cost"] or 0.0 for r in out)
 
 
-def _sums(vecs: DataFrame, dim: int, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One pass: the vectors' number and sum for each centre, added up in four tasks before they reach the driver."""
-    k = len(centres)
+def _sums(vecs: DataFrame, dim: int, centres: np.ndarray, of: np.ndarray | None = None, limit: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One pass: the vectors' number and sum for each centre, added up in four tasks before they reach the driver.
+
+    ``of``: the group of each centre; then numbers and sums are those of groups. ``limit``: vectors farther from their centre are left out.
+    """
+    k = len(centres) if of is None else int(of.max()) + 1
 
     def partial(batches):
         count, total = np.zeros(k, "i8"), np.zeros((k, dim), "f8")
 
         def work(ids: np.ndarray, x: np.ndarray):
-            where, _ = _nearest(x, centres)
+            where, d = _nearest(x, centres)
+            if limit is not None:
+                x, where = x[d <= limit], where[d <= limit]
+            if not len(x):
+                return
+            where = where if of is None else of[where]
             order = np.argsort(where, kind="stable")
             heads = np.flatnonzero(np.diff(where[order], prepend=-1))
             total[where[order][heads]] += np.add.reduceat(x[order], heads, axis=0)
@@ -187,7 +201,7 @@ def _typical(vecs: DataFrame, dim: int, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Leads:
-    """Typical members by group: those within the limit of each other are of one group."""
+    """Typical members by group: those within the limit of each other are of one group, broken unless all of it are."""
 
     points: np.ndarray
     group: np.ndarray
@@ -197,41 +211,45 @@ class _Leads:
     @staticmethod
     def of(points: np.ndarray, limit: float) -> _Leads:
         n = len(points)
+        a, b = [np.empty(0, "i8")], [np.empty(0, "i8")]
+        for at in range(0, n, 1024):
+            i, j = np.nonzero(1 - points[at : at + 1024] @ points.T <= limit)
+            a.append(i + at)
+            b.append(j)
+        a, b = np.concatenate([*a, np.arange(n)]), np.concatenate([*b, np.arange(n)])
         group = np.arange(n)
-        broken = np.zeros(n, bool)
-        for i in range(n):  # a few k points
-            near = np.flatnonzero(1 - points[:i] @ points[i] <= limit)
-            if len(near):
-                roots = np.unique(group[near])
-                if len(roots) > 1 or len(near) < (group[:i] == roots[0]).sum():
-                    broken[roots] = True
-                group[np.isin(group, roots)] = roots[0]
-                group[i] = roots[0]
-                if broken[roots].any():
-                    broken[roots[0]] = True
+        while True:  # the smallest place of all that hang together
+            least = group.copy()
+            np.minimum.at(least, a, group[b])
+            least = np.minimum(least, least[least])
+            if (least == group).all():
+                break
+            group = least
         roots, group = np.unique(group, return_inverse=True)
+        size, near = np.bincount(group), np.bincount(group[a[a != b]], minlength=len(roots))
         total = np.zeros((len(roots), points.shape[1]))
         np.add.at(total, group, points)
-        return _Leads(points, group, _unit(total), broken[roots])
+        return _Leads(points, group, _unit(total), near != size * (size - 1))
 
 
-def _against_leads(vecs: DataFrame, dim: int, leads: _Leads, limit: float) -> DataFrame:
-    """``(id, grp, whole, d)``: each vector near a typical member, its group, whether it is near all of them, its distance from the middle."""
+def _against_leads(vecs: DataFrame, dim: int, leads: _Leads, limit: float, centres: np.ndarray | None = None) -> DataFrame:
+    """``(id, grp, whole, d)``: each vector within the limit of the typical member it is assigned to, that one's group, whether it is near all of the group's and of no other, its distance from the group's centroid."""
     sizes = np.bincount(leads.group, minlength=len(leads.centres))
     order = np.argsort(leads.group, kind="stable")
     points, group = leads.points[order], leads.group[order]
     heads = np.flatnonzero(np.diff(group, prepend=-1))
+    centres = leads.centres if centres is None else centres
 
     def work(ids: np.ndarray, x: np.ndarray):
-        near = (x @ points.T) >= 1 - limit
-        hit = near.any(1)
-        ids, x, near = ids[hit], x[hit], near[hit]
+        s = x @ points.T
+        nearest = s.argmax(1)
+        hit = s[np.arange(len(x)), nearest] >= 1 - limit
+        ids, x, near, own = ids[hit], x[hit], s[hit] >= 1 - limit, group[nearest[hit]]
         if not len(ids):
             return None
         per_group = np.add.reduceat(near, heads, axis=1, dtype="i4")
-        own = (per_group > 0).argmax(1)
         whole = (per_group[np.arange(len(ids)), own] == sizes[own]) & ((per_group > 0).sum(1) == 1)
-        middle = 1 - np.einsum("ij,ij->i", x, leads.centres[own])
+        middle = 1 - np.einsum("ij,ij->i", x, centres[own])
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(whole), pa.array(np.maximum(0, middle), pa.float32())], names=["id", "grp", "whole", "d"])
 
     return vecs.mapInArrow(V.per_rows(work, dim), "id long, grp int, whole boolean, d float")
@@ -286,12 +304,7 @@ def _missed(vecs: DataFrame, dim: int, centres: np.ndarray, leads: np.ndarray, l
 
     cells = vecs.mapInArrow(V.per_rows(uncovered, dim), "cell int, id long, vec binary")
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(together, "vec binary")
-    points = _unpack([r["vec"] for r in found.collect()], dim)  # one per missed group and cell
-    kept: list[np.ndarray] = []
-    for p in points:
-        if not kept or (1 - np.array(kept) @ p).min() > limit:
-            kept.append(p)
-    return np.array(kept, "f4").reshape(-1, dim)
+    return np.unique(_unpack([r["vec"] for r in found.collect()], dim), axis=0)  # one per missed group and cell; those of one group are recognised as such
 
 
 def _one_each(ids: list[int], rows: list[np.ndarray]) -> np.ndarray:
@@ -300,8 +313,8 @@ def _one_each(ids: list[int], rows: list[np.ndarray]) -> np.ndarray:
     return np.asarray(rows)[first]
 
 
-def similarity_groups(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.15, min_size: int = 8, k: int | None = None) -> DataFrame:
-    """``(lead_id, id, d)``: the members of every group of at least ``min_size`` ids, with the group's smallest id and each member's distance from its middle."""
+def similarity_groups(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.15, min_size: int = 8, k: int | None = None, ranked: bool = True) -> DataFrame:
+    """``(lead_id, id, d)``: the members of every group of at least ``min_size`` ids, with the group's smallest id and each member's distance from its centroid (without ``ranked``: from the middle of its typical members, which saves a pass)."""
     empty = "lead_id long, id long, d float"
     vecs = V.selected(df, id_col, vec_col)
     dim, n = V.dimension_and_count(vecs)
@@ -313,15 +326,39 @@ def similarity_groups(df: DataFrame, id_col: str, vec_col: str, limit: float = 0
     typical = _typical(vecs, dim, centres)
     more = _missed(vecs, dim, centres, typical, limit)
     leads = _Leads.of(np.vstack([typical, more]) if len(more) else typical, limit)
-    near = checkpointed(_against_leads(vecs, dim, leads, limit).groupBy("id").agg(F.min("grp").alias("grp"), F.min("whole").alias("whole"), F.min("d").alias("d")))
+    middles = None
+    if ranked:
+        _, total = _sums(vecs, dim, leads.points, leads.group, limit)
+        middles = _unit(total)
+    near = checkpointed(_against_leads(vecs, dim, leads, limit, middles).groupBy("id").agg(F.min("grp").alias("grp"), F.min("whole").alias("whole"), F.min("d").alias("d")))
     groups = near.groupBy("grp").agg(F.min("id").alias("lead_id"), F.count("*").alias("size"), F.min("whole").alias("sound"))
     broken = [int(g) for g in np.flatnonzero(leads.broken)]
     sound = groups.where(F.col("sound") & (F.col("size") >= min_size) & ~F.col("grp").isin(broken)).select(F.col("grp").alias("of"), "lead_id")
     return near.join(sound, F.col("grp") == F.col("of")).select("lead_id", "id", "d")
 
 
+def clustered(df: DataFrame, id_col: str, vec_col: str, k: int | None = None) -> DataFrame:
+    """``(cluster, id, d)``: every vector's cluster of k-means and its distance from the cluster's centroid, one row per id."""
+    vecs = V.selected(df, id_col, vec_col)
+    dim, n = V.dimension_and_count(vecs)
+    kind = "cluster int, id long, d float"
+    centres, _ = kmeans_centres(vecs, dim, k or max(8, math.ceil(math.sqrt(n)))) if n else (np.empty((0, 1), "f4"), None)
+    if not len(centres):
+        return df.sparkSession.createDataFrame([], kind)
+    _, total = _sums(vecs, dim, centres)
+    middles = _unit(total)
+
+    def work(ids: np.ndarray, x: np.ndarray):
+        where, _ = _nearest(x, centres)
+        d = np.maximum(0, 1 - np.einsum("ij,ij->i", x, middles[where]))
+        return pa.record_batch([pa.array(where, pa.int32()), pa.array(ids, pa.int64()), pa.array(d, pa.float32())], names=["cluster", "id", "d"])
+
+    assigned = vecs.mapInArrow(V.per_rows(work, dim), kind)
+    return assigned.groupBy("id").agg(F.min(F.struct("cluster", "d")).alias("c")).select("c.cluster", "id", "c.d")
+
+
 def described_groups(groups: DataFrame, typical: int = 5) -> DataFrame:
-    """``(lead_id, size, typical)``: each group's size and the ids of its members nearest the middle.
+    """``(lead_id, size, typical)``: each group's size and the ids of its members nearest the centroid.
 
     The nearest are found in two steps (by a hash of the id, then overall), so that no task
     sorts a large group.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, frequency, leakage, lookalike, neighbours, packing, reformatted, subset, truncation
-from vecloom.session import table
+from vecloom.llm import clusters, frequency, leakage, lookalike, neighbours, packing, reformatted, subset, truncation, vectors
+from vecloom.session import checkpointed, table
 
 
 VECTOR_TABLES = {"vectors_f32": "id", "dict": "word_id"}
@@ -84,18 +84,29 @@ def p5_kept(spark: SparkSession, sf: str) -> DataFrame:
 # --- 6: groups of similar vectors -------------------------------------------------------
 
 
-def _p6_groups(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {tab: clusters.similarity_groups(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()}
+def _p6_groups(spark: SparkSession, sf: str, ranked: bool = True) -> dict[str, DataFrame]:
+    return {tab: clusters.similarity_groups(table(spark, sf, tab), key, "vec", ranked=ranked) for tab, key in VECTOR_TABLES.items()}
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _union({tab: df.where("id <> lead_id").select("lead_id", "id") for tab, df in _p6_groups(spark, sf).items()})
+    return _union({tab: df.where("id <> lead_id").select("lead_id", "id") for tab, df in _p6_groups(spark, sf, ranked=False).items()})
 
 
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _union({tab: clusters.described_groups(df) for tab, df in _p6_groups(spark, sf).items()})
 
 
+def p6_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return _union({tab: clusters.described_groups(df).select("lead_id", "size") for tab, df in _p6_groups(spark, sf, ranked=False).items()})
+
+
+def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of terms, vectorised by hashed weighted features, in k-means clusters with size and most typical members."""
+    features = checkpointed(vectors.hashed_features(table(spark, sf, "terms"), "id", "term_ids", dim=64))
+    found = clusters.clustered(features, "id", "vec").withColumnRenamed("cluster", "lead_id")
+    return clusters.described_groups(found).withColumnRenamed("lead_id", "cluster")
+
+
 # --- 7: containers of tokens ------------------------------------------------------------
 
 
@@ -122,6 +133,11 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks_by_item(_p8_leaks(spark, sf), table(spark, sf, "eval_items"), "item_id")
 
 
+def p8_paraphrases(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.paraphrased_passages(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage")
+    return found.select("doc_id", "item_id", F.round(F.col("common").cast("double"), 3).alias("common"), F.round(F.col("answer").cast("double"), 3).alias("answer"))
+
+
 # --- 9: truncated texts -----------------------------------------------------------------
 
 
@@ -134,7 +150,7 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"), "doc_id", "source", "text")
 
 
-QUERIES = [p1_subset, p2_found, p2_nearest, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p7_containers, p7_certificates, p8_found, p8_items, p9_found, p9_sources]
+QUERIES = [p1_subset, p2_found, p2_nearest, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p6_sizes, p6_clusters, p7_containers, p7_certificates, p8_found, p8_items, p8_paraphrases, p9_found, p9_sources]
 
 
 def queries() -> dict:

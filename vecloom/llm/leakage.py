@@ -57,8 +57,8 @@ COMPARED, ROWS = 8192, 1024
 #: Places by which a common word may be off: half a step, and words that a line end breaks.
 BAND = 4
 #: Of a document's passage, and of it with a block on either side (which hold all of a run of 20 words around it), the words that
-#: the item must have in their places, and the pairs of neighbours among them: what runs with up to 8 misread words have, less one or more.
-MATCHED, MATCHED_AROUND, NEIGHBOURS = 6, 10, 3
+#: the item must have in their places, and the pairs of neighbours among them: what runs with up to 8 misread words have, less one.
+MATCHED, MATCHED_AROUND, NEIGHBOURS = 6, 11, 3
 #: Words of an item by which the answer check goes.
 ANSWER = 5
 RANK = 96
@@ -70,6 +70,7 @@ INFORMATIVE = 0.3
 MIN_COSINE, PARAPHRASE = 0.42, 0.7
 
 _BROKEN = re.compile(r"[-=¬‐­–][ \t]*\n\s*")
+_ASCII_SIGNS = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
 
 # Letters and signs that are misread for one another, each written as the last of its group.
 _MISREAD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("0", "o"), ("1", "l"), ("i", "l"), ("!", "l"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("q", "g"), ("c", "e"), ("f", "t"), ("h", "b"), ("n", "u"), ("a", "o")]
@@ -78,6 +79,8 @@ _MISREAD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("0", "o"), ("1"
 def lines_of(text: str) -> list[str]:
     """The lines in lower case without signs; a word that a mark breaks at a line end is whole, on the first of the two lines."""
     text = _BROKEN.sub("", text.lower())
+    if text.isascii():
+        return text.encode().translate(None, _ASCII_SIGNS).decode().split("\n")
     for sign in set(text):
         if not (sign.isalnum() or sign.isspace()):
             text = text.replace(sign, "")
@@ -94,6 +97,17 @@ def _distance_within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``."""
     if abs(len(a) - len(b)) > most:
         return False
+    same = 0  # common ends do not count
+    while same < len(a) and same < len(b) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    longest = max(len(a), len(b))
+    if longest <= most or most < 2:
+        return longest <= most
+    if len(set(a) ^ set(b)) > 2 * most:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -109,8 +123,17 @@ class Matcher:
 
     def __init__(self, most: int = 200_000):
         self.known: dict[tuple[str, str], bool] = {}
+        self.folded: dict[str, str] = {}
         self.most = most
 
+    def _fold(self, word: str) -> str:
+        got = self.folded.get(word)
+        if got is None:
+            if len(self.folded) >= self.most:
+                self.folded.clear()
+            got = self.folded[word] = _folded(word)
+        return got
+
     def __call__(self, item: str, doc: str) -> bool:
         if item == doc:
             return True
@@ -120,7 +143,7 @@ class Matcher:
         if got is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            a, b = _folded(item), _folded(doc)
+            a, b = self._fold(item), self._fold(doc)
             n = len(item)
             got = a == b or _distance_within(a, b, 0 if n < 3 else 1 if n < 8 else 2)
             self.known[item, doc] = got
@@ -248,7 +271,7 @@ def _sketch(texts: DataFrame, items: _Items, rank: int) -> tuple[int, np.ndarray
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocabulary, omega = sent.value, _test_matrix(size, rank)
+        vocabulary, omega = sent.value, np.vstack([_test_matrix(size, rank), np.zeros((2, rank), "f4")])  # codes -2 and -1
         total, df, product = 0, np.zeros(size, "i8"), np.zeros((size, rank), "f8")
         for ids, batch in _batched(batches):
             total += len(ids)
@@ -258,14 +281,15 @@ def _sketch(texts: DataFrame, items: _Items, rank: int) -> tuple[int, np.ndarray
                 continue
             terms = codes[at]
             df += np.bincount(np.unique(block_doc[at // BLOCK].astype("i8") * size + terms) % size, minlength=size)
-            passage = at // (BLOCK * BLOCKS)
-            first = np.flatnonzero(np.diff(passage, prepend=-1))
-            rows = np.add.reduceat(omega[terms], first, axis=0)
+            passages = np.concatenate([codes, np.full(-len(codes) % PASSAGE, -2, "i4")]).reshape(-1, PASSAGE)
+            rows = omega[passages[:, 0]]
+            for k in range(1, PASSAGE):
+                rows += omega[passages[:, k]]
             order = np.argsort(terms, kind="stable")
-            sorted_terms = terms[order]
+            sorted_terms, rows = terms[order], rows[at[order] // PASSAGE]
             heads = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
-            which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-            product[sorted_terms[heads]] += np.add.reduceat(rows[which[order]], heads, axis=0)
+            for term, begin, end in zip(sorted_terms[heads].tolist(), heads.tolist(), np.append(heads[1:], len(order)).tolist()):
+                product[term] += rows[begin:end].sum(0)
         yield pa.record_batch([pa.array([TaskContext.get().partitionId() % 4], pa.int32()), pa.array([total], pa.int64()), pa.array([df.tobytes()], pa.binary()), pa.array([product.tobytes()], pa.binary())], names=["slot", "total", "df", "product"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,11 +68,30 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY tab, id ORDER BY d, other)
 SELECT DISTINCT tab, least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE r <= 10
 """
 
+_P1 = """
+WITH counts AS (
+  SELECT 'vectors_f32' AS tab, count(*) AS n, count(DISTINCT id) AS most FROM vectors_f32 WHERE len(vec) > 0 AND id IS NOT NULL
+  UNION ALL SELECT 'dict', count(*), count(DISTINCT word_id) FROM dict WHERE len(vec) > 0 AND word_id IS NOT NULL)
+SELECT tab, least(greatest(64, CAST(floor(n * 0.01) AS BIGINT)), most) AS ids, least(greatest(64, CAST(floor(n * 0.01) AS BIGINT)), most) AS different FROM counts
+"""
+
+_P2_COUNTS = _UNIT + "SELECT tab, count(*) AS ids, 10 * count(*) AS neighbours, 0::BIGINT AS wrong FROM u GROUP BY tab"
+
+_PLAIN = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]+', '', 'g'), '\s+'), lambda w: w <> '')"
+_P8 = rf"""
+WITH docs AS (SELECT DISTINCT doc_id, ' ' || array_to_string({_PLAIN.format("text")}, ' ') || ' ' AS doc FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+words AS (SELECT item_id, {_PLAIN.format("passage")} AS ws FROM eval_items WHERE passage IS NOT NULL),
+runs AS (SELECT DISTINCT item_id, ' ' || array_to_string(ws[i : i + 19], ' ') || ' ' AS run FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 19, 1) + 1)) AS i FROM words))
+SELECT DISTINCT doc_id, item_id FROM docs JOIN runs ON contains(doc, run)
+"""
+
 # a group: ids whose neighbours within the limit (themselves included) are the same ids
-_P6 = _UNIT + """,
+_P6_GROUPS = _UNIT + """,
 near AS (SELECT a.tab, a.id, b.id AS other FROM u a JOIN u b ON a.tab = b.tab WHERE list_dot_product(a.v, b.v) >= 0.85),
 ball AS (SELECT tab, id, min(other) AS lead_id, count(*) AS n, list(other ORDER BY other) AS members FROM near GROUP BY tab, id),
 grp AS (SELECT tab, lead_id, members, count(*) AS k FROM ball WHERE n >= 8 GROUP BY tab, lead_id, members HAVING count(*) = len(members))
+"""
+_P6 = _P6_GROUPS + """
 SELECT b.tab, b.lead_id, b.id FROM ball b JOIN grp g ON g.tab = b.tab AND g.members = b.members WHERE b.id <> b.lead_id
 """
 
@@ -96,6 +115,11 @@ flags AS (SELECT doc_id, source, coalesce(chars = c, false) OR coalesce(bytes =
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_sizes": _P1,
+        "p2_counts": _P2_COUNTS,
+        "p6_sizes": _P6_GROUPS + "SELECT tab, lead_id, k AS size FROM grp",
+        "p7_coverage": "SELECT count(DISTINCT doc_id) AS docs, 0::BIGINT AS torn, 0::BIGINT AS overfull, 0::BIGINT AS gaps FROM documents WHERE doc_id IS NOT NULL",
+        "p8_verbatim": _P8,
         "p2_found": _P2,
         "p3_found": _P3 + "SELECT word_id, mark FROM marked WHERE known AND mark IS NOT NULL",
         "p3_frequencies": _P3 + "SELECT word_id, word, docs, occurrences, mark FROM marked",

@@ -27,6 +27,12 @@ def p1_subset(spark: SparkSession, sf: str) -> DataFrame:
     return _union({tab: subset.varied_subset(table(spark, sf, tab), key, "vec") for tab, key in VECTOR_TABLES.items()})
 
 
+def p1_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the subsets: their sizes, and no id twice."""
+    chosen = p1_subset(spark, sf)
+    return chosen.groupBy("tab").agg(F.count("*").alias("ids"), F.count_distinct("id").alias("different"))
+
+
 # --- 2: most similar vectors ------------------------------------------------------------
 
 
@@ -38,6 +44,14 @@ def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _union({tab: neighbours.nearest(table(spark, sf, tab), key, "vec", complete=False) for tab, key in VECTOR_TABLES.items()})
 
 
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the lists: ten for every id, ranks in order of distance, no id its own neighbour, none twice in a list."""
+    lists = p2_nearest(spark, sf).groupBy("tab", "id").agg(F.sort_array(F.collect_list(F.struct("rank", "dist", "near_id"))).alias("near"))  # ten rows a list
+    dists, ids = F.transform("near", lambda e: e["dist"]), F.transform("near", lambda e: e["near_id"])
+    wrong = (F.array_sort(dists) != dists) | F.array_contains(ids, F.col("id")) | (F.size(F.array_distinct(ids)) != F.size(ids))
+    return lists.groupBy("tab").agg(F.count("*").alias("ids"), F.sum(F.size("near")).alias("neighbours"), F.sum(wrong.cast("long")).alias("wrong"))
+
+
 # --- 3: frequency of every term ---------------------------------------------------------
 
 
@@ -118,6 +132,15 @@ def p7_certificates(spark: SparkSession, sf: str) -> DataFrame:
     return packing.certificates(packing.packed(packing.token_counts(table(spark, sf, "documents"), "doc_id", "text")))
 
 
+def p7_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers: every document once and whole, pieces only of what is larger than a container, none overfull, places without gaps."""
+    rows = p7_containers(spark, sf)
+    docs = rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("upto"))
+    kept = rows.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.max("position").alias("last"))
+    of_docs = docs.agg(F.count("*").alias("docs"), F.count_if((F.col("tokens") != F.col("upto")) | ((F.col("pieces") > 1) & (F.col("tokens") <= 1024))).alias("torn"))
+    return of_docs.crossJoin(kept.agg(F.count_if(F.col("tokens") > 1024).alias("overfull"), F.count_if(F.col("last") + 1 != F.col("n")).alias("gaps")))  # one row each
+
+
 # --- 8: leaked evaluation passages ------------------------------------------------------
 
 
@@ -133,6 +156,17 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks_by_item(_p8_leaks(spark, sf), table(spark, sf, "eval_items"), "item_id")
 
 
+def p8_verbatim(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaks that need no tolerance: 20 words of the item stand in the document as they are."""
+    plain = lambda c: F.array_join(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]+", ""), r"\s+"), lambda w: w != ""), " ")
+    docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("d"), F.concat(F.lit(" "), plain(F.col("text")), F.lit(" ")).alias("doc"))
+    words = F.split(plain(F.col("passage")), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 19, F.lit(1))), lambda i: F.concat(F.lit(" "), F.array_join(F.slice(words, i, 20), " "), F.lit(" ")))
+    items = table(spark, sf, "eval_items").where("passage is not null").select(F.col("item_id").alias("i"), runs.alias("runs"))
+    leaks = p8_found(spark, sf).join(items, F.col("item_id") == F.col("i")).join(docs, F.col("doc_id") == F.col("d"))
+    return leaks.where(F.exists("runs", lambda r: F.contains("doc", r))).select("doc_id", "item_id").distinct()
+
+
 def p8_paraphrases(spark: SparkSession, sf: str) -> DataFrame:
     found = leakage.paraphrased_passages(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage")
     return found.select("doc_id", "item_id", F.round(F.col("common").cast("double"), 3).alias("common"), F.round(F.col("answer").cast("double"), 3).alias("answer"))
@@ -150,7 +184,7 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"), "doc_id", "source", "text")
 
 
-QUERIES = [p1_subset, p2_found, p2_nearest, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p6_sizes, p6_clusters, p7_containers, p7_certificates, p8_found, p8_items, p8_paraphrases, p9_found, p9_sources]
+QUERIES = [p1_subset, p1_sizes, p2_found, p2_nearest, p2_counts, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p6_sizes, p6_clusters, p7_containers, p7_certificates, p7_coverage, p8_found, p8_items, p8_verbatim, p8_paraphrases, p9_found, p9_sources]
 
 
 def queries() -> dict:

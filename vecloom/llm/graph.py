@@ -12,8 +12,9 @@ The vectors are unit vectors; similarity is the inner product, distance 1 minus
     inserted in the same block, are its candidates.
  3. Edges: the candidates are pruned. The nearest is kept; another stays only if it is not closer,
     by the factor ``ALPHA``, to one that was kept than to the node itself. Reversed edges join, and
-    what is above the degree is pruned again. One edge is never pruned: that from the nearest node
-    found when a node was inserted (its parent) to the node, so that every node can be reached.
+    what is above the degree is pruned again. Two edges are never pruned: that from the nearest node
+    found when a node was inserted (its parent) to the node, so that every node can be reached, and
+    that from the nearest found when it was last searched for.
 
 Nothing else decides what is found: without edges a search finds the entry nodes only.
 """
@@ -84,7 +85,7 @@ class _Visits:
 def _joined(ids: np.ndarray, sims: np.ndarray, new: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists after the rows were compared with the nodes ``new``."""
     rows, keep = ids.shape
-    r, c = np.nonzero(s > sims[:, -1:])
+    r, c = np.divmod(np.flatnonzero(s > sims[:, -1:]), len(new))
     if not len(r):
         return ids, sims
     first = np.searchsorted(r, np.arange(rows))
@@ -105,13 +106,15 @@ class Edges:
 
     def __init__(self, nodes: int, degree: int):
         self.pruned = np.full((nodes, degree), NONE, "i4")
-        self.parent = np.full(nodes, NONE, "i4")
+        self.parent, self.nearest = (np.full(nodes, NONE, "i4") for _ in range(2))
         self.adopted()
 
     def adopted(self) -> None:
-        """Children by parent, after ``parent`` changed."""
-        self._children = np.argsort(self.parent, kind="stable")
-        self._first = np.searchsorted(self.parent[self._children], np.arange(len(self.parent) + 1))
+        """Children by parent, after ``parent`` or ``nearest`` changed."""
+        parents = np.concatenate([self.parent, self.nearest])
+        order = np.argsort(parents, kind="stable")
+        self._children = order % max(1, len(self.parent))
+        self._first = np.searchsorted(parents[order], np.arange(len(self.parent) + 1))
 
     def of(self, nodes: np.ndarray) -> np.ndarray:
         reached = self.pruned[nodes].ravel()
@@ -214,8 +217,10 @@ class ShardGraph:
         have_r, have_c = np.nonzero(edges[touched] != NONE)
         a = np.concatenate([touched[have_r], chosen[r, c]]).astype("i8")
         b = np.concatenate([edges[touched[have_r], have_c], src[r]])
-        pairs = np.unique(a * len(x) + b)
-        a, b = pairs // len(x), (pairs % len(x)).astype("i4")
+        pairs = np.sort(a * len(x) + b)
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        a, b = np.divmod(pairs, len(x))
+        b = b.astype("i4")
         s = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
         order = np.lexsort((b, -s, a))
         a, b, s = a[order], b[order], s[order]
@@ -249,7 +254,11 @@ class ShardGraph:
             some = order[a : a + ROWS]
             own = None if own_of is None else own_of[some]
             ids, sims = beam_search(self.x, self.edges, q[some], self.entries, keep, visits, own)
+            if own is not None:
+                self.edges.nearest[own] = ids[:, 0]
             out_i[some], out_s[some] = np.where(ids[:, :k] == NONE, NONE, self.places[ids[:, :k]]), sims[:, :k]
+        if own_of is not None:
+            self.edges.adopted()
         return out_i, out_s
 
 

@@ -4,10 +4,11 @@ Routing: centres (about the square root of the rows) are fitted on a bounded sam
 ``SAMPLE`` rows; neighbouring centres are gathered into shards of about ``SHARD_ROWS`` rows by
 repeated halving. Every row is a member of the shard of its nearest centre. It visits every other
 shard with a centre that is at most ``VISIT_ANGLE`` farther than its own nearest; or, where only
-neighbours within a given distance are asked for, every shard that can hold one (of two such
-vectors in different shards each visits the other's: the arc between them crosses the plane
-between their centres, so that neither is farther from it than they are apart). How many shards
-that are is not limited: a row far from all centres, whose neighbours may be anywhere, visits many.
+neighbours within a given distance are asked for, every shard that can hold one: the arc between
+two such vectors in different shards crosses the plane between their centres, so that neither is farther from it than they are apart.
+Then one of the two visits is enough (to the later shard): its answer counts for both rows, and is
+as long as there are vectors within the distance. How many shards
+are visited is not limited: a row far from all centres, whose neighbours may be anywhere, visits many.
 
 Each shard builds the graph over its members, and beam searches in it answer members and
 visitors (see ``graph``): what these searches find is the result, and the results of a row's
@@ -49,7 +50,7 @@ from vecloom.llm.clusters import _nearest, _unit
 from vecloom.session import checkpointed, default_parallelism
 
 SAMPLE = 32_768
-SHARD_ROWS = 40_000
+SHARD_ROWS = 100_000
 #: Rows that one task searches for: a shard with more visitors is answered by several.
 SEARCH_ROWS = 160_000
 #: A shard is visited if its nearest centre is at most so much farther (in radians) than the row's own.
@@ -79,8 +80,8 @@ class Routes:
         """Rows x shards: the angle to the shard's nearest centre."""
         return np.arccos(np.clip(np.maximum.reduceat((x @ self.centres.T)[:, self._order], self._heads, axis=1), -1, 1))
 
-    def visited(self, x: np.ndarray, visits: int | None, within: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """The home shard of each row, and rows x shards: those that it visits besides (at most ``visits``, if that is given)."""
+    def visited(self, x: np.ndarray, visits: int | None, within: float | None, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The home shard of each row, and rows x shards: those that it visits besides (at most ``visits``, if that is given; ``once``: with ``within``, the later ones only)."""
         s = x @ self.centres.T
         every = np.arange(len(x))
         own = s.argmax(1)
@@ -90,6 +91,8 @@ class Routes:
             gap, apart = s[every, own][:, None] - s, self._apart[own]
             plane = np.where(apart > 1e-6, gap / np.maximum(apart, 1e-6), 0)
             near = np.minimum.reduceat(plane[:, self._order], self._heads, axis=1) <= math.sin(min(math.pi / 2, math.acos(max(-1.0, 1 - within)) + ANGLE_ERROR))
+            if once:
+                near &= np.arange(self.shards) > home[:, None]
         else:
             angles = np.arccos(np.clip(np.maximum.reduceat(s[:, self._order], self._heads, axis=1), -1, 1))
             near = angles <= angles.min(1, keepdims=True) + VISIT_ANGLE
@@ -185,7 +188,7 @@ def _routed(vecs: DataFrame, dim: int, routes: Routes, k: int, visits: int | Non
         for i in links.tolist():
             extra.setdefault(int(rep_of[i]), []).append(int(ids[i]))
         xs, own = x[rep_at], ids[rep_at]
-        home, near = routes.visited(xs, visits, within)
+        home, near = routes.visited(xs, visits, within, deal is not None)
         r, s = np.nonzero(near)
         m, e = len(xs), len(links)
         if deal is None:
@@ -194,7 +197,7 @@ def _routed(vecs: DataFrame, dim: int, routes: Routes, k: int, visits: int | Non
         else:
             at, shard, kind, unit = _dealt(deal, own, home, r, s)
             link_unit = ids[links] % deal.tasks
-        held = kind <= HELD
+        held = kind <= (HELD if within is None else GUEST)  # copies of guests: for the answers that count for members
         copies = [sorted(set(extra[i]))[:k] if i in extra else None for i in own.tolist()]
         nothing = [None] * e
         return pa.record_batch(
@@ -385,6 +388,8 @@ class _Shard:
                 held.setdefault(int(self.node_of[i]), set()).update([int(ids[i]), *(copies[i] or ())])
         self.names = {n: sorted(v)[: k + 1] for n, v in held.items() if len(v) > 1}
         self.one = ids[first]
+        order = np.argsort(self.node_of, kind="stable")
+        self.members, self.first = ids[order], np.searchsorted(self.node_of[order], np.arange(len(first) + 1))
         self.several = np.zeros(len(first) + 1, bool)
         self.several[list(self.names)] = True
         self.k = k
@@ -395,8 +400,36 @@ class _Shard:
         different, rows = np.unique(nodes, return_inverse=True)
         return self._answers(reps, rows, *self.graph.nearest(None, self.k, different), different, within)
 
-    def of_guests(self, reps: np.ndarray, q: np.ndarray, within: float | None):
-        return self._answers(reps, np.arange(len(q)), *self.graph.nearest(q, self.k), None, within)
+    def of_guests(self, reps: np.ndarray, q: np.ndarray, copies: list, within: float | None):
+        if within is None:
+            return self._answers(reps, np.arange(len(q)), *self.graph.nearest(q, self.k), None, None)
+        return self._both_ways(reps, q, copies, within)
+
+    def _both_ways(self, reps: np.ndarray, q: np.ndarray, copies: list, within: float):
+        """All members within the distance of each guest: the guests' answers, and those members' answers."""
+        waiting, beam = np.arange(len(q)), graph.BEAM
+        while len(waiting):
+            near, sims = self.graph.nearest(q[waiting], beam, beam=beam)
+            valid = (near != graph.NONE) & (np.maximum(0, 1 - sims) <= within)
+            full = valid.all(1) & (beam < len(self.one))
+            r, c = np.nonzero(valid & ~full[:, None])
+            if len(r):
+                yield self._pairs(reps[waiting[r]], [copies[i] for i in waiting[r].tolist()], near[r, c], np.maximum(0, 1 - sims[r, c]))
+            waiting, beam = waiting[full], 2 * beam
+
+    def _pairs(self, guests: np.ndarray, copies: list, nodes: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+        reps, ids, dists = [], [], []
+        for g, more, node, d in zip(guests.tolist(), copies, nodes.tolist(), dist.tolist()):
+            names = self.names.get(node) or [int(self.one[node])]
+            reps.append(g)
+            ids.append(names)
+            dists.append([d] * len(names))
+            own = [g, *(more or ())]
+            for member in self.members[self.first[node] : self.first[node + 1]].tolist():  # one a batch at most
+                reps.append(member)
+                ids.append(own)
+                dists.append([d] * len(own))
+        return _answer(np.array(reps, "i8"), pa.array(ids, pa.list_(pa.int64())), pa.array(dists, pa.list_(pa.float32())))
 
     def _answers(self, reps: np.ndarray, rows: np.ndarray, near: np.ndarray, sims: np.ndarray, nodes: np.ndarray | None, within: float | None):
         k, m = self.k, len(self.one)
@@ -455,7 +488,7 @@ def _listed(dim: int, k: int, within: float | None):
 
         def answered():
             ids, x = np.concatenate([g[0] for g in guests]), np.concatenate([g[1] for g in guests])
-            yield from shard.of_guests(ids, x, within)
+            yield from shard.of_guests(ids, x, [c for g in guests for c in g[2]], within)
 
         def closed():
             nonlocal shard
@@ -483,7 +516,7 @@ def _listed(dim: int, k: int, within: float | None):
                 if held:
                     shard = yield from members()
                     held = []
-                guests.append((p.column("id").to_numpy(), x))
+                guests.append((p.column("id").to_numpy(), x, p.column("copies").to_pylist()))
                 waiting += len(x)
                 if waiting >= 16_384 and shard is not None:
                     yield from answered()
@@ -537,7 +570,7 @@ def _expected(sample: np.ndarray, routes: Routes, n: int, visits: int | None, wi
     """How the shards are dealt, by the sample's members and visitors."""
     members, guests = np.zeros(routes.shards), np.zeros(routes.shards)
     for at in range(0, len(sample), 4096):
-        home, near = routes.visited(sample[at : at + 4096], visits, within)
+        home, near = routes.visited(sample[at : at + 4096], visits, within, True)
         members += np.bincount(home, minlength=routes.shards)
         guests += near.sum(0)
     share = n / max(1, len(sample))

@@ -130,7 +130,8 @@ def test_facade(spark, tmp_path):
     assert builder.num_elements() == 4 and len(builder) == 0
     index = builder.build()
     assert len(index) == 4 and index.search("red", 10, 1)[0][0] == "red"
-    assert index.get_internal_element(2) == "red green"
+    assert index.get_internal_element(2) == "red green" and index.get_terms(2) == [0, 1] and index.get_terms(77) is None
+    assert emb.dists("red", ["green", 0, [0, 1], "nothing known"]) == pytest.approx([1, 0, 1 - 2**-0.5, 1])
     order = index.reorder()
     assert sorted(order) == [0, 1, 2, 3] and index.search("green", 10, 1)[0][0] == "green"
     vec = api.VectorIndexBuilder(spark, "angular_int", num_neighbors=4, max_search=10)
@@ -162,3 +163,39 @@ def test_growing_index_from_a_stream(spark, tmp_path):
     assert g.insert_batch(spark.createDataFrame(rows, "k long, vec array<float>"), batch).count() == 0  # a replay
     e = g.snapshot().elements.where("id = 10").select(F.col("id").alias("query_id"), "vec")
     assert g.search(e, 50, 1).first()["id"] == 10
+
+
+def test_sums_by_join_equal_gathered_ones(spark, monkeypatch):
+    terms = spark.createDataFrame([(0, [0, 1, 0]), (1, []), (2, None), (3, [99, None, 2]), (4, list(range(5)) * 40_000)], "id long, term_ids array<int>")
+    gathered = {r["id"]: list(r["vec"]) for r in E.sum_embeddings(terms, dictionary(spark), 2).collect()}
+    monkeypatch.setattr(E, "DICTIONARY_BYTES", 16)
+    assert {r["id"]: list(r["vec"]) for r in E.sum_embeddings(terms, dictionary(spark), 2).collect()} == gathered
+    assert gathered[4] == [160_000.0, 40_000.0] and gathered[3] == [1.0, 1.0]
+    none = dictionary(spark).where("word_id > 99")
+    monkeypatch.undo()
+    assert all(v == [0.0, 0.0] for v in (list(r["vec"]) for r in E.sum_embeddings(terms, none, 2).collect()))
+
+
+def test_lines_of_files_that_are_split(spark, tmp_path):
+    lines = [json.dumps(f"line {i}") for i in range(5000)]
+    (tmp_path / "big").write_text("\n".join(lines))  # no newline at the end
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [r["value"] for r in files.element_lines(spark, f"{tmp_path}/big").orderBy("id").collect()]
+        ids_ = [r["id"] for r in files.element_lines(spark, f"{tmp_path}/big").orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == lines and ids_ == list(range(5000))
+
+
+def test_versions_of_a_growing_index(spark, tmp_path):
+    import os
+
+    g = GrowingIndex(spark, f"{tmp_path}/i", 100, BuildConfig(num_neighbors=6, max_search=20))
+    for k in range(5):
+        rows = [(float(k), float(j), 1.0) for j in range(4)]
+        g.insert_batch(spark.createDataFrame([([*r],) for r in rows], "vec array<float>"), k)
+    assert len(g) == 20 and len(g.snapshot()) == 20
+    full = GrowingIndex(spark, f"{tmp_path}/j", 1, BuildConfig(num_neighbors=6, max_search=20))
+    assert full.insert([1.0, 2.0]) == 0 and full.insert([2.0, 1.0]) is None and len(full) == 1
+    assert sorted(n for n in os.listdir(tmp_path / "i") if n.startswith("v")) == ["v3", "v4", "v5"]

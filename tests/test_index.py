@@ -147,3 +147,47 @@ def test_exact_ties_nulls_and_zero(spark):
     got = [tuple(r) for r in exact.knn(df.where("id = 3"), df, 3).orderBy("rank").collect()]
     assert got == [(3, 1, 1, 0.0), (3, 2, 3, 0.0), (3, 3, 2, 1.0)]
     assert exact.knn(df.where("id = 99"), df, 3).count() == 0
+
+
+def test_exact_with_many_queries(spark, monkeypatch):
+    x = unit(300, 8)
+    df = frame(spark, x).unionByName(spark.createDataFrame([(900, [0.0] * 8), (901, None), (None, [1.0] * 8)], "id long, vec array<float>"))
+    few = sorted(tuple(r) for r in exact.knn(df, df, 4, exclude_self=True).collect())
+    monkeypatch.setattr(exact, "QUERY_BLOCK", 40)
+    assert sorted(tuple(r) for r in exact.knn(df, df, 4, exclude_self=True).collect()) == few and len(few) == 301 * 4
+    assert exact.knn(df, df.where("id > 9999"), 4).count() == 0
+
+
+def test_search_blocks_equal_single_searches():
+    x = unit(900, 12)
+    s = Searcher(x, build(x, BuildConfig(num_neighbors=12, max_search=40)))
+    ids, dist = s.search_block(x[:150], 60, 5)
+    single = [s.search(v, 60, 5) for v in x[:150]]
+    assert np.mean([[p for _, p in one] == ids[i].tolist() for i, one in enumerate(single)]) > 0.97
+    assert all(dist[i, 4] <= one[4][0] + 1e-12 for i, one in enumerate(single))  # never worse
+    assert (Searcher(np.empty((0, 3)), []).search_block(x[:2, :3], 5, 3)[0] == NONE).all()
+    with pytest.raises(ValueError):
+        s.search_block(x[:1], 0, 1)
+
+
+def test_partial_over_shards_takes_the_smallest_ids(spark):
+    df = frame(spark, unit(500, 6)).withColumn("id", F.col("id") * 7 - 1000)
+    builder = IndexBuilder(df, BuildConfig(layer_multiplier=8, num_neighbors=8, max_search=20), shards=4)
+    for n in (1, 130, 131, 500, 700):
+        index = builder.build_partial(n)
+        got = sorted(r["node"] for r in index.last_layer().select("node").collect())
+        assert got == [i * 7 - 1000 for i in range(min(n, 500))]
+
+
+def test_reorder_of_several_shards(spark):
+    x = unit(400, 5)
+    df = frame(spark, x)
+    index = IndexBuilder(df, BuildConfig(layer_multiplier=5, num_neighbors=10, max_search=20), shards=3).build()
+    moved, perm = reorder.reordered_index(index)
+    to_old = {r["new_id"]: r["old_id"] for r in perm.collect()}
+    assert sorted(to_old) == sorted(to_old.values()) == list(range(400)) and any(a != b for a, b in to_old.items())
+    assert moved.layer_counts() == index.layer_counts()
+    q = df.where("id < 20")
+    a = {(r["query_id"], r["rank"]): r["id"] for r in index.search(q, 400, 5, query_id="id").collect()}
+    b = {(r["query_id"], r["rank"]): to_old[r["id"]] for r in moved.search(q, 400, 5, query_id="id").collect()}
+    assert a == b

@@ -80,8 +80,16 @@ class Embeddings:
         return compute_distance("angular", self.get_embedding(a), self.get_embedding(b))
 
     def dists(self, a: int | Sequence[int] | str, others: Sequence) -> list[float]:
-        x = self.get_embedding(a)
-        return [compute_distance("angular", x, self.get_embedding(b)) for b in others]
+        """The distances of all of ``others`` from ``a``, in one job."""
+        numbered = self.spark.createDataFrame([], "id long, term_ids array<int>")
+        texts = [(i, o) for i, o in enumerate([a, *others]) if isinstance(o, str)]
+        lists = [(i, [int(o)] if isinstance(o, int) else [int(t) for t in o]) for i, o in enumerate([a, *others]) if not isinstance(o, str)]
+        if texts:
+            numbered = numbered.unionByName(E.term_ids(self.spark.createDataFrame(texts, "id long, text string"), "id", T.words(F.col("text")), E.word_dictionary(self.dictionary)))
+        if lists:
+            numbered = numbered.unionByName(self.spark.createDataFrame(lists, "id long, term_ids array<int>"))
+        vecs = {r["id"]: list(r["vec"]) for r in E.sum_embeddings(numbered, self.dictionary, self.dim).collect()}
+        return [compute_distance("angular", vecs[0], vecs[i + 1]) for i in range(len(others))]
 
     def append(self, vec: Sequence[float], word: str) -> bool:
         """Adds a word; False, and nothing is added, if it is known."""
@@ -144,6 +152,13 @@ class VectorIndex:
         row = E.element_words(self.terms.where(F.col("id") == idx), self.embeddings.dictionary).first()
         return row and row["text"]
 
+    def get_terms(self, idx: int) -> list[int] | None:
+        """The term ids of an element of an index of embeddings; None if there is no such element."""
+        if self.terms is None:
+            raise ValueError("only an index of embeddings has terms")
+        row = self.terms.where(F.col("id") == idx).select("term_ids").first()
+        return row and list(row[0] or [])
+
     def get_neighbors(self, idx: int, layer: int | None = None) -> list[int]:
         return self.index.get_neighbors(idx, layer)
 
@@ -154,7 +169,11 @@ class VectorIndex:
         return self.index.layer_len(layer)
 
     def reorder(self) -> list[int]:
-        """Renumbers the elements (by trail; for embeddings by their terms' norms); the old id of each new one."""
+        """Renumbers the elements (by trail; for embeddings by their terms' norms); the old id of each new one, as a list here (``reordered`` keeps it distributed)."""
+        return [r["old_id"] for r in self.reordered().orderBy("new_id").toLocalIterator()]
+
+    def reordered(self) -> DataFrame:
+        """As ``reorder``; the permutation ``(new_id, old_id)``."""
         keys = None
         if self.index.kind == "embeddings":
             norms = self.embeddings.dictionary.select("word_id", V.norm(F.col("vec")).alias("norm"))
@@ -162,7 +181,7 @@ class VectorIndex:
         self.index, perm = reorder.reordered_index(self.index, keys)
         if self.terms is not None:
             self.terms = reorder.permuted(self.terms, perm)
-        return [r["old_id"] for r in perm.orderBy("new_id").toLocalIterator()]
+        return perm
 
     def save_index(self, path: str) -> None:
         self.index.save(path)
@@ -216,7 +235,7 @@ class VectorIndexBuilder:
         elif self.kind == "embeddings":
             sums = E.sum_embeddings(vecs, self.embeddings.dictionary, self.embeddings.dim)
             vecs = sums.select("id", V.normalize(F.col("vec")).cast("array<float>").alias("vec"))
-        builder = IndexBuilder(vecs, self.config, self.kind, shards=1 if self.index is None else self.index.shards, graph=self.index.graph if self.index else None)
+        builder = IndexBuilder(vecs, self.config, self.kind, shards=None if self.index is None else self.index.shards, graph=self.index.graph if self.index else None)
         self.index = builder.build_partial(num_elements)
         return VectorIndex(self.index, self.embeddings, self.elements if self.kind == "embeddings" else None)
 

@@ -98,8 +98,9 @@ def indexable(v: Column) -> Column:
 
 
 def plus(x: Column, y: Column) -> Column:
-    """Component-wise sum."""
-    return F.when(F.size(x) == F.size(y), F.zip_with(_doubles(x), _doubles(y), lambda a, b: a + b))
+    """Component-wise sum; lengths that differ raise an error."""
+    added = F.zip_with(_doubles(x), _doubles(y), lambda a, b: a + b)
+    return F.when(F.size(x) == F.size(y), added).otherwise(F.when(x.isNull() | y.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>")))
 
 
 def delta_encode(ids: Column) -> Column:

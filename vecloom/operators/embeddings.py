@@ -1,17 +1,24 @@
 """Elements that are sums of embeddings: dictionary, text to term ids, term ids to vectors.
 
 Joins with the dictionary are left to the optimizer, which broadcasts it only below its size
-limit. A hot word does no harm: a join with a dictionary has one row per word on that side,
+limit; sums send it to the tasks if it is no larger than ``DICTIONARY_BYTES``. A hot word does no harm: a join with a dictionary has one row per word on that side,
 and what is grouped is one element at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from vecloom.functions import text as T
 from vecloom.functions import vector as V
+from vecloom.session import spread
 
 
 def word_dictionary(words: DataFrame, id_col: str = "word_id", word_col: str = "word") -> DataFrame:
@@ -42,14 +49,61 @@ def parse_elements(lines: DataFrame, id_col: str, line_col: str, dictionary: Dat
     return term_ids(lines, id_col, T.words(T.after_last_colon(T.json_text(F.col(line_col)))), dictionary)
 
 
+#: Bytes up to which a dictionary is sent to all tasks.
+DICTIONARY_BYTES = 64 << 20
+
+
 def sum_embeddings(terms: DataFrame, dictionary: DataFrame, dim: int, id_col: str = "id", terms_col: str = "term_ids") -> DataFrame:
     """``(id, vec)``: the sum of the listed embeddings, each as often as it is listed, in double precision.
 
     An empty list gives zeros; ids without an embedding, and embeddings that are null, add nothing; of several embeddings of one id the greatest counts.
+    A dictionary of at most ``DICTIONARY_BYTES`` is sent to the tasks, which gather and add without a shuffle; a larger one is joined. A vector that is not of length ``dim`` raises an error.
     """
+    vecs = dictionary.where("vec is not null").groupBy("word_id").agg(F.max("vec").alias("vec"))
+    most = DICTIONARY_BYTES // max(1, 8 * dim)
+    some = vecs.select(F.col("word_id").cast("long").alias("word_id"), F.col("vec").cast("array<double>").alias("vec")).limit(most + 1).toArrow()
+    if some.num_rows <= most:
+        return _gathered_sums(terms, some, dim, id_col, terms_col)
+    return joined_sums(terms, vecs, dim, id_col, terms_col)
+
+
+def _gathered_sums(terms: DataFrame, table: pa.Table, dim: int, id_col: str, terms_col: str) -> DataFrame:
+    words = table.column("word_id").to_numpy()
+    order = np.argsort(words)
+    flat = table.column("vec").combine_chunks()
+    flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(words) * dim:
+        raise ValueError("vectors of different lengths")
+    sent = terms.sparkSession.sparkContext.broadcast((words[order], np.vstack([flat.reshape(-1, dim)[order], np.zeros((1, dim))])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vecs = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                lists = part.column(1)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                listed = pc.fill_null(lists.flatten(), -1).to_numpy()
+                place = np.minimum(np.searchsorted(known, listed), max(0, len(known) - 1))
+                place = np.where(known[place] == listed, place, len(known)) if len(known) else np.zeros(len(listed), "i8")
+                sums = np.zeros((part.num_rows, dim))
+                own = np.repeat(np.arange(part.num_rows), lengths)
+                for a in range(0, len(own), 65536):  # a very long list is added up in pieces
+                    o, p = own[a : a + 65536], place[a : a + 65536]
+                    heads = np.flatnonzero(np.diff(o, prepend=-1))
+                    sums[o[heads]] += np.add.reduceat(vecs[p], heads, axis=0)
+                offsets = np.arange(part.num_rows + 1, dtype="i4") * dim
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))], names=["id", "vec"])
+
+    rows = terms.select(F.col(id_col).alias("id"), F.col(terms_col).cast("array<long>").alias("terms"))
+    kind = T_.StructType([T_.StructField("id", rows.schema["id"].dataType), T_.StructField("vec", T_.ArrayType(T_.DoubleType()))])
+    return spread(rows).mapInArrow(run, kind)
+
+
+def joined_sums(terms: DataFrame, vecs: DataFrame, dim: int, id_col: str = "id", terms_col: str = "term_ids") -> DataFrame:
+    """As ``sum_embeddings``, by a join with the dictionary ``(word_id, vec)``, however large."""
     listed = terms.select(F.col(id_col).alias("id"), F.explode_outer(terms_col).alias("term"))
     counts = listed.groupBy("id", "term").agg(F.count("*").alias("n"))
-    vecs = dictionary.where("vec is not null").groupBy("word_id").agg(F.max("vec").alias("vec"))
     joined = counts.join(vecs, F.col("term") == F.col("word_id"), "left").select("id", "n", "vec")
     zero = F.array_repeat(F.lit(0.0), dim)
     add = lambda a, e: F.when(e["vec"].isNull(), a).otherwise(F.zip_with(a, e["vec"], lambda p, q: p + q.cast("double") * e["n"]))

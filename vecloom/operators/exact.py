@@ -1,25 +1,29 @@
 """Exact nearest neighbours, and graphs of them.
 
-The query set goes to the tasks in blocks of bounded size; each task multiplies a block with
-its rows and keeps the best of each query, and the partial results are merged: a partial and a
-final top k, and no pair of rows is ever materialized. Vectors of any length are compared by
+A task multiplies a block of queries with a part of the elements and keeps the best of each query, and the partial results are
+merged: a partial and a final top k, and no pair of rows is ever materialized. A query set of no
+more than ``QUERY_BLOCK`` rows is sent to all tasks; a larger one stays distributed: blocks of
+queries and parts of the elements meet in one task for each pair of them. Vectors of any length are compared by
 their cosine, a zero vector has distance 1 to everything; ties are ordered by id.
 Null ids and vectors take no part.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vector as V
-from vecloom.session import spread
+from vecloom.session import default_parallelism, spread
 
-#: Queries that are sent to the tasks at once.
+#: Queries that are sent to all tasks, and queries of a block where there are more.
 QUERY_BLOCK = 8192
 #: Decimals at which distances are compared: equal vectors tie, whatever the order of addition.
 DIGITS = 9
@@ -38,18 +42,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def query_blocks(queries: DataFrame, id_col: str, vec_col: str, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set in blocks of ids and vectors."""
-    ids, vecs = [], []
-    rows = queries.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-    for r in rows.toLocalIterator():
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == block:
-            yield np.array(ids, "i8"), np.array(vecs, "f8")
-            ids, vecs = [], []
-    if ids:
-        yield np.array(ids, "i8"), np.array(vecs, "f8")
+def asked(queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, vec)`` of the queries that are not null."""
+    return queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+
+
+def few_queries(queries: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of ``(id, vec)``, or None if there are more than ``block``."""
+    t = queries.limit(block + 1).toArrow()
+    if t.num_rows > block:
+        return None
+    vecs = t.column("vec").combine_chunks()
+    vecs = pa.concat_arrays(vecs.chunks) if isinstance(vecs, pa.ChunkedArray) else vecs
+    return t.column("id").to_numpy(), matrix(vecs, len(vecs[0])) if t.num_rows else np.empty((0, 0))
 
 
 def cosine_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -105,16 +110,60 @@ def knn(queries: DataFrame, elements: DataFrame, k: int, query_id: str = "id", q
     own, a function of a matrix of queries and one of elements.
     """
     rows = elements.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    rows = spread(rows)
-    parts = None
-    for ids, q in query_blocks(queries, query_id, query_vec):
-        part = rows.mapInArrow(_partial(ids, q, k, exclude_self, distance), "query_id long, id long, dist double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = elements.sparkSession.createDataFrame([], "query_id long, id long, dist double")
+    wanted = asked(queries, query_id, query_vec)
+    few = few_queries(wanted, QUERY_BLOCK)
+    kind = "query_id long, id long, dist double"
+    if few is None:
+        parts = _in_blocks(wanted, rows, QUERY_BLOCK).mapInArrow(_blockwise(k, exclude_self, distance), kind)
+    elif len(few[0]):
+        parts = spread(rows).mapInArrow(_partial(*few, k, exclude_self, distance), kind)
+    else:
+        parts = elements.sparkSession.createDataFrame([], kind)
     return merged_top(parts, k)
 
 
+def _in_blocks(queries: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """``(unit, element, id, vec)``: each block of queries with each part of the elements in a partition of its own, queries first.
+
+    Elements are sent once for each block of queries, queries once for each part of the elements; there are as many
+    parts as keep the cluster busy.
+    """
+    blocks = max(1, math.ceil(queries.count() / block))
+    parts = max(1, math.ceil(2 * default_parallelism(queries.sparkSession) / blocks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n")
+    asked_of = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), numbers(parts), "id", "vec").select("block", F.col("n").alias("part"), F.lit(False).alias("element"), "id", "vec")
+    held_by = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), numbers(blocks), "id", "vec").select(F.col("n").cast("long").alias("block"), "part", F.lit(True).alias("element"), "id", "vec")
+    both = asked_of.unionByName(held_by).select((F.col("block") * parts + F.col("part")).cast("int").alias("unit"), "element", "id", "vec")
+    return both.repartitionById(blocks * parts, F.col("unit")).sortWithinPartitions("element", "id")
+
+
+def _blockwise(k: int, exclude_self: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """A function for ``mapInArrow`` over the partitions of ``_in_blocks``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def parted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                element = b.column("element")
+                first = pc.sum(pc.invert(element)).as_py() or 0
+                if first:
+                    held.append(b.slice(0, first).select(["id", "vec"]))
+                if first < b.num_rows:
+                    yield b.slice(first).select(["id", "vec"])
+
+        rest = parted()
+        start = next(rest, None)
+        if start is None or not held:
+            return
+        ids = np.concatenate([h.column("id").to_numpy() for h in held])
+        dim = len(held[0].column("vec")[0])
+        q = np.concatenate([matrix(h.column("vec"), dim) for h in held])
+        yield from _partial(ids, q, k, exclude_self, distance)(itertools.chain([start], rest))
+
+    return run
+
+
 def knn_by(queries: DataFrame, elements: DataFrame, k: int, dist: Callable[[Column, Column], Column], key: str) -> DataFrame:
     """Nearest elements by a distance of one's own, a function of two columns, among elements that share the column ``key`` with the query.
 

@@ -32,7 +32,7 @@ from vecloom.operators.layered import NONE, BuildConfig, Searcher, build
 from vecloom.schemas import GRAPH, element_type
 
 SHARD_ROWS = 16_384
-VERSION = 1
+LIBRARY, VERSION = "vecloom", 2
 
 
 class HasGraph(Protocol):
@@ -50,16 +50,23 @@ def _shard(shards: int):
 _ROWS = "shard int, layer int, id long, neighbors array<long>, vec array<float>"
 
 
-def _together(elements: DataFrame, graph: DataFrame | None, shards: int) -> DataFrame:
-    """Elements (layer -1) and graph rows, those of a shard in one partition."""
+#: The layer under which queries come, after all others.
+QUERY = 1 << 20
+
+
+def _together(elements: DataFrame, graph: DataFrame | None, shards: int, queries: DataFrame | None = None) -> DataFrame:
+    """Elements (layer -1) and graph rows, those of a shard in one partition; and all queries ``(id, vec)``, after them, in each."""
     rows = elements.select(_shard(shards).alias("shard"), F.lit(-1).alias("layer"), "id", F.lit(None).cast("array<long>").alias("neighbors"), F.col("vec").cast("array<float>").alias("vec"))
     if graph is not None:
         rows = rows.unionByName(graph.select("shard", "layer", F.col("node").alias("id"), "neighbors", F.lit(None).cast("array<float>").alias("vec")))
+    if queries is not None:
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        rows = rows.unionByName(queries.select(every, F.lit(QUERY).alias("layer"), "id", F.lit(None).cast("array<long>").alias("neighbors"), F.col("vec").cast("array<float>").alias("vec")))
     return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "layer", "id")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Each shard's ids, unit vectors and layers (places of neighbours)."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]] | pa.RecordBatch]:
+    """Each shard's ids, unit vectors and layers (places of neighbours); if there are queries, followed by batches of them."""
 
     def made(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
@@ -83,14 +90,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 
     shard, parts = None, []
     for b in batches:
-        shards = b.column("shard").to_numpy()
-        cuts = np.append(np.flatnonzero(np.diff(shards, prepend=-1)), len(shards)) if len(shards) else [0]
+        shards, asked = b.column("shard").to_numpy(), b.column("layer").to_numpy() == QUERY
+        cuts = np.append(np.flatnonzero(np.diff(shards.astype("i8") * 2 + asked, prepend=-1)), len(shards)) if len(shards) else [0]
         for a, z in zip(cuts[:-1], cuts[1:]):
-            if shard is not None and shards[a] != shard:
+            if parts and (shards[a] != shard or asked[a]):
                 yield shard, *made(parts)
                 parts = []
+            elif asked[a] and shards[a] != shard:  # a shard without elements
+                yield int(shards[a]), np.empty(0, "i8"), np.empty((0, 0)), []
             shard = int(shards[a])
-            parts.append(b.slice(a, z - a))
+            if asked[a]:
+                yield b.slice(a, z - a)
+            else:
+                parts.append(b.slice(a, z - a))
     if parts:
         yield shard, *made(parts)
 
@@ -157,22 +169,23 @@ class Index:
         if max_search < 1:
             raise ValueError("max_search must be at least 1")
         k = min(k, max_search)
-        rows = _together(self.elements, self.graph, self.shards)
-        parts = None
-        for ids, raw in exact.query_blocks(queries, query_id, query_vec):
-
-            def run(batches, ids=ids, q=exact.unit(raw)):
-                for _, own, x, layers in _shards(batches):
-                    searcher = Searcher(x, layers)
-                    out = [(int(i), int(own[p]), d) for i, v in zip(ids, q) for d, p in searcher.search(v, max_search, k)]
-                    if out:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "dist"])
-
-            part = rows.mapInArrow(run, "query_id long, id long, dist double")
-            parts = part if parts is None else parts.unionByName(part)
-        if parts is None:
-            return self.elements.sparkSession.createDataFrame([], "query_id long, rank int, id long, dist double")
-        return exact.merged_top(parts, k)
+        wanted = exact.asked(queries, query_id, query_vec)
+        rows = _together(self.elements, self.graph, self.shards, wanted)
+
+        def run(batches):
+            searcher, own = None, None
+            for part in _shards(batches):
+                if isinstance(part, tuple):
+                    _, own, x, layers = part
+                    searcher = Searcher(x, layers) if len(own) else None
+                elif searcher is not None:
+                    q = exact.unit(exact.matrix(part.column("vec"), searcher.x.shape[1]))
+                    ids, dist = searcher.search_block(q, max_search, k)
+                    r, c = np.nonzero(ids != NONE)
+                    if len(r):
+                        yield pa.record_batch([part.column("id").take(pa.array(r)), pa.array(own[ids[r, c]], pa.int64()), pa.array(dist[r, c])], names=["query_id", "id", "dist"])
+
+        return exact.merged_top(rows.mapInArrow(run, "query_id long, id long, dist double"), k)
 
     def trails(self) -> DataFrame:
         """``(id, trail)``: the elements that greedy search for each element passes in the upper layers."""
@@ -189,7 +202,7 @@ class Index:
 
     def header(self) -> dict:
         counts = self.layer_counts()
-        return {"version": VERSION, "num_elements": len(self), "num_layers": len(counts), "layer_counts": counts, "num_neighbors": self.config.num_neighbors, "shards": self.shards, "element_type": self.kind, "config": dataclasses.asdict(self.config)}
+        return {"library": LIBRARY, "version": VERSION, "num_elements": len(self), "num_layers": len(counts), "layer_counts": counts, "num_neighbors": self.config.num_neighbors, "shards": self.shards, "element_type": self.kind, "config": dataclasses.asdict(self.config)}
 
     def save(self, path: str) -> None:
         """Writes header, graph and elements below ``path``, replacing what is there."""
@@ -201,6 +214,8 @@ class Index:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        if meta.get("library") != LIBRARY or meta.get("version") != VERSION:
+            raise ValueError(f"no index of this library and version {VERSION}: {path}")
         if meta["num_layers"] != len(meta["layer_counts"]):
             raise ValueError("the header does not fit its layers")
         graph = spark.read.schema(GRAPH).parquet(f"{path}/graph") if meta["num_layers"] else spark.createDataFrame([], GRAPH)
@@ -241,7 +256,7 @@ class IndexBuilder:
         return self.build_partial(None)
 
     def build_partial(self, num_elements: int | None) -> Index:
-        """Indexes the elements with the smallest ids up to that number (of each shard its part); None: all; 0: none."""
+        """Indexes the elements with the smallest ids, that many in all (or as many as are indexed already); None: all; 0: none."""
         from vecloom.session import checkpointed
 
         if num_elements == 0:
@@ -251,14 +266,29 @@ class IndexBuilder:
         if config.expected:
             config = dataclasses.replace(config, expected=math.ceil(config.expected / shards))
 
+        last = None if num_elements is None else self._last_of(num_elements)
+
         def run(batches):
             for shard, own, x, layers in _shards(batches):
-                upto = None if num_elements is None else max(len(layers[-1]) if layers else 0, min(len(x), round(num_elements / shards)))
+                upto = None if last is None else max(len(layers[-1]) if layers else 0, int(np.searchsorted(own, last, side="right")))
                 yield from _graph_rows(shard, own, build(x, config, layers, upto))
 
         self.graph = checkpointed(_together(self.elements, self.graph, shards).mapInArrow(run, GRAPH))
         return Index(self.elements, self.graph, shards, self.kind, self.config)
 
+    def _last_of(self, n: int) -> int:
+        """The id that ``n`` elements do not exceed, found by halving: each step is a count."""
+        low, high = self.elements.agg(F.min("id"), F.max("id")).first()
+        if low is None:
+            return 0
+        while low < high:
+            middle = (low + high) // 2
+            if self.elements.where(F.col("id") <= middle).count() >= n:
+                high = middle
+            else:
+                low = middle + 1
+        return low
+
     def get_index(self) -> Index:
         graph = self.graph if self.graph is not None else self.elements.sparkSession.createDataFrame([], GRAPH)
         return Index(self.elements, graph, self.shards, self.kind, self.config)

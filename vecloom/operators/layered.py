@@ -161,15 +161,67 @@ def _grown(x: np.ndarray, old: np.ndarray, size: int, config: BuildConfig, total
     return _link(x, old, size, config, degree)
 
 
+#: Queries that are searched for together, and entries of a query's list that one step expands.
+TOGETHER, WIDTH = 128, 8
+
+
 class Searcher:
-    """Searches one shard: greedy through the upper layers, then best-first in the last."""
+    """Searches one shard: greedy through the upper layers, then best-first in the last.
+
+    ``search`` takes one query, ``search_block`` many: the nodes that the expansions of a block of
+    queries lead to are compared with all queries of the block in one matrix product, so that a query's
+    list is that of a search of its own, or better.
+    """
 
     def __init__(self, x: np.ndarray, layers: list[np.ndarray]):
         self.x = x
-        self.layers = [[row[row != NONE] for row in layer] for layer in layers]
+        self.rows = layers
+        self._lists: list[list[np.ndarray]] | None = None
         good = np.flatnonzero(np.einsum("ij,ij->i", x, x) > 1 - EPSILON_100)
         self.entry = int(good[0]) if len(good) else 0
 
+    @property
+    def layers(self) -> list[list[np.ndarray]]:
+        if self._lists is None:
+            self._lists = [[row[row != NONE] for row in layer] for layer in self.rows]
+        return self._lists
+
+    def search_block(self, q: np.ndarray, max_search: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1 beyond the end) and distances of at most ``min(k, max_search)`` elements for each query, nearest first."""
+        if max_search < 1:
+            raise ValueError("max_search must be at least 1")
+        k = min(k, max_search)
+        ids, dist = np.full((len(q), k), NONE, "i8"), np.full((len(q), k), np.inf)
+        if not self.rows or not len(self.rows[-1]):
+            return ids, dist
+        for a in range(0, len(q), TOGETHER):
+            some = q[a : a + TOGETHER]
+            at = np.full(len(some), self.entry)
+            for layer in self.rows[:-1]:
+                at = self._together(layer, np.where(at < len(layer), at, 0), some, 1)[0][:, 0]
+            i, d = self._together(self.rows[-1], np.where(at < len(self.rows[-1]), at, 0), some, min(max_search, len(self.rows[-1])))
+            ids[a : a + len(some), : i.shape[1]], dist[a : a + len(some), : i.shape[1]] = i[:, :k], d[:, :k]
+        return ids, dist
+
+    def _together(self, layer: np.ndarray, starts: np.ndarray, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        compared, expanded = np.zeros(len(layer), bool), np.zeros(len(layer), bool)
+        ids, dist = np.full((len(q), most), NONE, "i8"), np.full((len(q), most), np.inf)
+        new = np.unique(starts)
+        while True:
+            if len(new):
+                compared[new] = True
+                d = np.maximum(0, 1 - q @ self.x[new].T)
+                i, d = np.concatenate([ids, np.broadcast_to(new, d.shape)], 1), np.concatenate([dist, d], 1)
+                order = np.lexsort((i, d), axis=1)[:, :most]
+                ids, dist = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
+            waiting = (ids != NONE) & ~expanded[ids]
+            some = np.unique(ids[waiting & (np.cumsum(waiting, axis=1) <= WIDTH)])
+            if not len(some):
+                return ids, dist
+            expanded[some] = True
+            new = np.unique(layer[some])
+            new = new[(new != NONE) & ~compared[new]]
+
     def _beam(self, layer: list[np.ndarray], start: int, q: np.ndarray, most: int) -> list[tuple[float, int]]:
         x = self.x
         d = max(0.0, 1 - float(x[start] @ q))

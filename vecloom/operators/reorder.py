@@ -5,7 +5,7 @@ A permutation is a table ``(new_id, old_id)``: the element ``old_id`` becomes ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.operators.ids import numbered
@@ -58,13 +58,27 @@ def norm_keys(terms: DataFrame, norms: DataFrame, length: int = 8, id_col: str =
     return ranked.select("id", F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("int"), length)), 1, length).alias("key"))
 
 
+def order_within_shards(index, keys: DataFrame, key_col: str = "key") -> DataFrame:
+    """The permutation that sorts by (band, key, id) within each shard: the ids of a shard stay its ids, and the layers their elements."""
+    from vecloom.operators.index import _shard
+
+    bands = index.graph.groupBy(F.col("node").alias("n")).agg(F.min("layer").alias("band"))
+    rows = keys.select("id", F.col(key_col).alias("key")).join(bands, F.col("id") == F.col("n"), "left")
+    rows = rows.select("id", "key", F.coalesce("band", F.lit(1 << 20)).alias("band"), _shard(index.shards).alias("shard"))
+    by_id, by_key = Window.partitionBy("shard").orderBy("id"), Window.partitionBy("shard").orderBy("band", "key", "id")  # a shard is bounded
+    placed = rows.select("id", "shard", F.row_number().over(by_id).alias("place"), F.row_number().over(by_key).alias("to"))
+    slots = placed.select(F.col("shard").alias("s"), F.col("place").alias("p"), F.col("id").alias("new_id"))
+    return placed.join(slots, (F.col("shard") == F.col("s")) & (F.col("to") == F.col("p"))).select("new_id", F.col("id").alias("old_id"))
+
+
 def reordered_index(index, keys: DataFrame | None = None):
-    """An index of one shard reordered by keys ``(id, key)``, by default by the trail of each element through the upper layers; and the permutation."""
+    """An index reordered by keys ``(id, key)``, by default by the trail of each element through the upper layers; and the permutation.
+
+    With several shards each is reordered by itself: an element stays in its shard.
+    """
     from vecloom.operators.index import Index
 
-    if index.shards != 1:
-        raise ValueError("reordering needs an index of one shard")
     if keys is None:
         keys = index.trails().select("id", F.col("trail").alias("key"))
-    perm = order_by_keys(keys, index.layer_counts())
-    return Index(permuted(index.elements, perm), reordered_graph(index.graph, perm), 1, index.kind, index.config), perm
+    perm = order_by_keys(keys, index.layer_counts()) if index.shards == 1 else order_within_shards(index, keys)
+    return Index(permuted(index.elements, perm), reordered_graph(index.graph, perm), index.shards, index.kind, index.config), perm

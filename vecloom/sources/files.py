@@ -85,8 +85,10 @@ def token_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``(id, value)``: the lines of a file or of all files of a directory, in order of path and line; gzip by suffix."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
-    return numbered(texts, "id", 0, ["path", "line"]).select("id", F.regexp_replace("value", r"\r$", "").alias("value"))
+    # splits of large files are read by different tasks: lines are in the order of path, split and place within it
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+    placed = lines.withColumn("line", F.monotonically_increasing_id())
+    return numbered(placed, "id", 0, ["path", "split", "line"]).select("id", F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ number and changes nothing. Before the first commit a search finds nothing.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,14 @@ from vecloom.operators.index import Index, IndexBuilder
 from vecloom.operators.layered import BuildConfig
 
 
+#: Versions that stay readable while newer ones are committed.
+KEPT = 3
+
+
 class GrowingIndex:
     """An index below ``path`` (a folder that all nodes share) with room for ``max_elements``."""
 
-    def __init__(self, spark: SparkSession, path: str, max_elements: int, config: BuildConfig | None = None, kind: str = "angular", shards: int = 1):
+    def __init__(self, spark: SparkSession, path: str, max_elements: int, config: BuildConfig | None = None, kind: str = "angular", shards: int | None = None):
         self.spark, self.path, self.max_elements, self.kind, self.shards = spark, path.rstrip("/"), max_elements, kind, shards
         self.config = BuildConfig(**{**(config or BuildConfig()).__dict__, "expected": max_elements})
 
@@ -47,6 +52,13 @@ class GrowingIndex:
         at = jvm.org.apache.hadoop.fs.Path
         fs.rename(at(f"{self.path}/commits/_{state['version']}"), at(f"{self.path}/commits/{state['version']}"))
 
+    def _forget(self, version: int) -> None:
+        """Removes a version that no search that began lately can still read."""
+        if version > 0:
+            jvm, fs = self._fs()
+            for old in (f"v{version}", f"commits/{version}"):
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
+
     def insert_batch(self, vectors: DataFrame, batch: int | None = None, vec_col: str = "vec") -> DataFrame:
         """Adds the vectors and commits; ``(id, vec)`` of those that were taken."""
         state = self.state()
@@ -59,13 +71,20 @@ class GrowingIndex:
         next_state = {"version": state["version"] + 1, "elements": state["elements"] + n, "batch": state["batch"] if batch is None else batch}
         if n:
             old = self.snapshot()
-            builder = IndexBuilder.resume(old, self.config).append(taken) if old else IndexBuilder(taken, self.config, self.kind, shards=self.shards)
+            # what is linked stays linked: only new elements are searched for
+            builder = IndexBuilder.resume(old, dataclasses.replace(self.config, reinsert=False)).append(taken) if old else IndexBuilder(taken, self.config, self.kind, shards=self.shards)
             builder.build().save(f"{self.path}/v{next_state['version']}")
             self._commit(next_state)
+            self._forget(next_state["version"] - KEPT)
         elif batch is not None:
             self._commit(next_state | {"version": state["version"]} if state["version"] else next_state | {"version": 0})
         return taken
 
+    def insert(self, vec: list[float]) -> int | None:
+        """Adds one vector; its id, or None if there is no room left."""
+        row = self.insert_batch(self.spark.createDataFrame([([float(v) for v in vec],)], "vec array<float>")).select("id").first()
+        return row and row["id"]
+
     def snapshot(self) -> Index | None:
         """The newest committed version."""
         version = self.state()["version"]

@@ -237,6 +237,7 @@ def test_spikes(spark):
     assert limits["chars"] == (60, 60) and limits["bytes"][1] == 60 and None not in limits
     by = {r["source"]: (r["docs"], r["truncated"]) for r in truncation.truncation_by_source(df, "id", "source", "text").collect()}
     assert by["free"] == (300, 0) and by[None] == (2, 0) and by["bytes"] == (100, 50) and by["chars"][1] >= 100  # headings at the limit too
+    assert {r["signal"] for r in truncation.truncation_signals(df, "id", "source", "text").collect()} == {"limit"}
     two = truncation.truncation_of_columns(df.withColumn("title", F.col("text")), "id", "source", ["text", "title"])
     assert two.count() == 8
 

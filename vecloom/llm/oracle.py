@@ -129,6 +129,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_kept": _P5 + "SELECT tab, kept_id, n - 1 AS copies FROM kept WHERE id = kept_id",
         "p6_found": _P6,
         "p9_found": _p9() + "SELECT doc_id FROM flags WHERE truncated",
+        "p9_signals": _p9() + "SELECT CASE WHEN at_limit THEN 'limit' ELSE 'ending' END AS signal, count(*) AS docs FROM flags WHERE truncated GROUP BY 1",
         "p9_sources": _p9()
         + """SELECT source, count(*) AS docs, CAST(sum(truncated::INT) AS BIGINT) AS truncated, CAST(sum((truncated AND at_limit)::INT) AS BIGINT) AS at_limit,
         round(avg(truncated::INT::DOUBLE), 6) AS share FROM flags GROUP BY source""",

@@ -184,7 +184,11 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf, "documents"), "doc_id", "source", "text")
 
 
-QUERIES = [p1_subset, p1_sizes, p2_found, p2_nearest, p2_counts, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p6_sizes, p6_clusters, p7_containers, p7_certificates, p7_coverage, p8_found, p8_items, p8_verbatim, p8_paraphrases, p9_found, p9_sources]
+def p9_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_signals(table(spark, sf, "documents"), "doc_id", "source", "text")
+
+
+QUERIES = [p1_subset, p1_sizes, p2_found, p2_nearest, p2_counts, p3_found, p3_frequencies, p4_found, p4_forms, p5_found, p5_kept, p6_found, p6_groups, p6_sizes, p6_clusters, p7_containers, p7_certificates, p7_coverage, p8_found, p8_items, p8_verbatim, p8_paraphrases, p9_found, p9_sources, p9_signals]
 
 
 def queries() -> dict:

@@ -88,13 +88,14 @@ def length_spikes(features: DataFrame, spike_values: int = SPIKE_VALUES, spike_s
 
 
 def truncation_flags(df: DataFrame, id_col: str, source_col: str, text_col: str, **spike) -> DataFrame:
-    """``(id, source, at_limit, truncated)``, one row per id."""
+    """``(id, source, at_limit, truncated, signal)``, one row per id; ``signal`` says what a truncated text was found by: ``'limit'`` (a spike of its source's lengths) or ``'ending'`` (its end alone), else null."""
     features = end_features(df, id_col, source_col, text_col)
     spikes = length_spikes(features, **spike).withColumnRenamed("source", "spike_source")
     joined = features.join(spikes, F.col("source").eqNullSafe(F.col("spike_source")), "left")
     at_limit = F.coalesce(F.col("chars") == F.col("char_limit"), F.lit(False)) | F.coalesce(F.col("bytes") == F.col("byte_limit"), F.lit(False))
     truncated = ~F.col("blank") & ~F.col("closed") & (at_limit | ~F.col("heading"))
-    return joined.select("id", "source", at_limit.alias("at_limit"), truncated.alias("truncated"))
+    signal = F.when(truncated, F.when(at_limit, "limit").otherwise("ending"))
+    return joined.select("id", "source", at_limit.alias("at_limit"), truncated.alias("truncated"), signal.alias("signal"))
 
 
 def truncation_by_source(df: DataFrame, id_col: str, source_col: str, text_col: str, **spike) -> DataFrame:
@@ -108,6 +109,11 @@ def truncation_by_source(df: DataFrame, id_col: str, source_col: str, text_col:
     )
 
 
+def truncation_signals(df: DataFrame, id_col: str, source_col: str, text_col: str, **spike) -> DataFrame:
+    """``(signal, docs)``: the truncated texts by what they were found by."""
+    return truncation_flags(df, id_col, source_col, text_col, **spike).where("truncated").groupBy("signal").agg(F.count("*").alias("docs"))
+
+
 def truncation_of_columns(df: DataFrame, id_col: str, source_col: str, text_cols: list[str], **spike) -> DataFrame:
     """``(column, source, docs, truncated, at_limit, share)`` for several text columns of one table."""
     parts = [truncation_by_source(df, id_col, source_col, c, **spike).select(F.lit(c).alias("column"), "*") for c in text_cols]

@@ -452,7 +452,11 @@ def embedding_norm_keys(spark, sf):
     return keys.select("id", F.posexplode("key").alias("pos", "term"))
 
 
-@_query()
+@_query(f"""WITH {_SUMS}, v AS (SELECT id, list(value ORDER BY pos) AS vec FROM sums GROUP BY id),
+f AS (SELECT id, list_transform(vec, lambda x: CAST(CASE WHEN {_norm_sql('vec')} > 0 THEN x / {_norm_sql('vec')} ELSE x END AS FLOAT)) AS raw FROM v),
+top AS (SELECT id, raw, list_max(list_transform(raw, lambda x: abs(x))) AS m FROM f)
+SELECT id, CAST(unnest(range(len(raw))) AS INTEGER) AS pos,
+  unnest(list_transform(raw, lambda x: CASE WHEN m > 0 THEN CAST(trunc(CAST(CAST(x * 127::FLOAT AS FLOAT) / m AS FLOAT)) AS TINYINT) ELSE 0::TINYINT END)) AS value FROM top""")
 def quantized_sum_long(spark, sf):
     d = _dictionary(spark, sf)
     return _long(E.quantized_sums(_terms(spark, sf), d, _dim(d)), "value")

@@ -199,3 +199,11 @@ def test_versions_of_a_growing_index(spark, tmp_path):
     full = GrowingIndex(spark, f"{tmp_path}/j", 1, BuildConfig(num_neighbors=6, max_search=20))
     assert full.insert([1.0, 2.0]) == 0 and full.insert([2.0, 1.0]) is None and len(full) == 1
     assert sorted(n for n in os.listdir(tmp_path / "i") if n.startswith("v")) == ["v3", "v4", "v5"]
+
+
+def test_a_dictionary_counts_in_its_own_precision(spark, monkeypatch):
+    words = spark.createDataFrame([(i, [float(i)] * 8) for i in range(10)], "word_id int, vec array<float>")
+    terms = spark.createDataFrame([(0, [1, 2, 2]), (1, [99])], "id long, term_ids array<int>")
+    monkeypatch.setattr(E, "DICTIONARY_BYTES", 10 * (8 + 4 * 8))
+    monkeypatch.setattr(E, "joined_sums", None)
+    assert {r["id"]: list(r["vec"]) for r in E.sum_embeddings(terms, words, 8).collect()} == {0: [5.0] * 8, 1: [0.0] * 8}

@@ -158,6 +158,31 @@ def test_exact_with_many_queries(spark, monkeypatch):
     assert exact.knn(df, df.where("id > 9999"), 4).count() == 0
 
 
+def test_exact_holds_no_more_than_a_tile_of_distances(spark):
+    def small_tiles(q, x):
+        if q.shape[0] * x.shape[0] > 1 << 20:
+            raise MemoryError("too many distances at once")
+        return exact.cosine_distance(q, x)
+
+    df = frame(spark, unit(3000, 4)).coalesce(1)
+    own = exact.knn(df, df, 3, distance=small_tiles)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, exact.knn(df, df, 3).collect()))
+
+
+def test_exact_of_blocks_of_queries_is_that_of_all(spark, monkeypatch):
+    x = unit(400, 8)
+    x[::50], x[1::40] = 0, x[2]  # without direction, and equal ones
+    df = frame(spark, x)
+    d = np.round(exact.cosine_distance(x, x), exact.DIGITS)
+    d[np.arange(400), np.arange(400)] = np.inf
+    want = [(i, n + 1, int(j)) for i in range(400) for n, j in enumerate(np.lexsort((np.arange(400), d[i]))[:4])]
+    found = lambda: sorted(tuple(r)[:3] for r in exact.knn(df, df, 4, exclude_self=True).collect())
+    monkeypatch.setattr(exact, "QUERY_BLOCK", 40)
+    assert found() == want  # counted, and sent
+    monkeypatch.setattr(exact, "QUERY_BYTES", 100 * (8 * 8 + 16 * 4))
+    assert found() == want  # blocks of 100
+
+
 def test_search_blocks_equal_single_searches():
     x = unit(900, 12)
     s = Searcher(x, build(x, BuildConfig(num_neighbors=12, max_search=40)))

@@ -7,12 +7,13 @@ and what is grouped is one element at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -49,8 +50,8 @@ def parse_elements(lines: DataFrame, id_col: str, line_col: str, dictionary: Dat
     return term_ids(lines, id_col, T.words(T.after_last_colon(T.json_text(F.col(line_col)))), dictionary)
 
 
-#: Bytes up to which a dictionary is sent to all tasks.
-DICTIONARY_BYTES = 64 << 20
+#: Bytes up to which a dictionary, in its own precision, is sent to all tasks.
+DICTIONARY_BYTES = 128 << 20
 
 
 def sum_embeddings(terms: DataFrame, dictionary: DataFrame, dim: int, id_col: str = "id", terms_col: str = "term_ids") -> DataFrame:
@@ -59,25 +60,38 @@ def sum_embeddings(terms: DataFrame, dictionary: DataFrame, dim: int, id_col: st
     An empty list gives zeros; ids without an embedding, and embeddings that are null, add nothing; of several embeddings of one id the greatest counts.
     A dictionary of at most ``DICTIONARY_BYTES`` is sent to the tasks, which gather and add without a shuffle; a larger one is joined. A vector that is not of length ``dim`` raises an error.
     """
+    return summing(dictionary, dim)(terms, id_col, terms_col)
+
+
+def summing(dictionary: DataFrame, dim: int) -> Callable[..., DataFrame]:
+    """``sum_embeddings`` of one dictionary, which is sent once: a function of terms and the names of their columns."""
     vecs = dictionary.where("vec is not null").groupBy("word_id").agg(F.max("vec").alias("vec"))
-    most = DICTIONARY_BYTES // max(1, 8 * dim)
-    some = vecs.select(F.col("word_id").cast("long").alias("word_id"), F.col("vec").cast("array<double>").alias("vec")).limit(most + 1).toArrow()
+    single = dictionary.schema["vec"].dataType == T_.ArrayType(T_.FloatType(), dictionary.schema["vec"].dataType.containsNull)
+    most = DICTIONARY_BYTES // (8 + (4 if single else 8) * dim)
+    rows = vecs.select(F.col("word_id").cast("long").alias("word_id"), F.col("vec").cast("array<float>" if single else "array<double>").alias("vec"))
+    some = (rows if dictionary.count() <= most else rows.limit(most + 1)).toArrow()  # a limit moves all rows to one task
     if some.num_rows <= most:
-        return _gathered_sums(terms, some, dim, id_col, terms_col)
-    return joined_sums(terms, vecs, dim, id_col, terms_col)
+        return _gathering(dictionary.sparkSession, some, dim, "f4" if single else "f8")
+    return lambda terms, id_col="id", terms_col="term_ids": joined_sums(terms, vecs, dim, id_col, terms_col)
 
 
-def _gathered_sums(terms: DataFrame, table: pa.Table, dim: int, id_col: str, terms_col: str) -> DataFrame:
+def _gathering(spark: SparkSession, table: pa.Table, dim: int, kind: str) -> Callable[..., DataFrame]:
     words = table.column("word_id").to_numpy()
     order = np.argsort(words)
-    flat = table.column("vec").combine_chunks()
-    flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
-    if len(flat) != len(words) * dim:
-        raise ValueError("vectors of different lengths")
-    sent = terms.sparkSession.sparkContext.broadcast((words[order], np.vstack([flat.reshape(-1, dim)[order], np.zeros((1, dim))])))
-
+    held, at = np.zeros((len(words) + 1, dim), kind), 0
+    for chunk in table.column("vec").chunks:
+        flat = chunk.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != len(chunk) * dim:
+            raise ValueError("vectors of different lengths")
+        held[at : at + len(chunk)] = flat.reshape(-1, dim)
+        at += len(chunk)
+    sent = spark.sparkContext.broadcast((words[order], np.append(order, len(words)), held))
+    return lambda terms, id_col="id", terms_col="term_ids": _gathered_sums(terms, sent, dim, id_col, terms_col)
+
+
+def _gathered_sums(terms: DataFrame, sent: Broadcast, dim: int, id_col: str, terms_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vecs = sent.value
+        known, held_at, vecs = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -91,7 +105,7 @@ def _gathered_sums(terms: DataFrame, table: pa.Table, dim: int, id_col: str, ter
                 for a in range(0, len(own), 65536):  # a very long list is added up in pieces
                     o, p = own[a : a + 65536], place[a : a + 65536]
                     heads = np.flatnonzero(np.diff(o, prepend=-1))
-                    sums[o[heads]] += np.add.reduceat(vecs[p], heads, axis=0)
+                    sums[o[heads]] += np.add.reduceat(vecs[held_at[p]].astype("f8", copy=False), heads, axis=0)
                 offsets = np.arange(part.num_rows + 1, dtype="i4") * dim
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))], names=["id", "vec"])
 

@@ -1,8 +1,8 @@
 """Exact nearest neighbours, and graphs of them.
 
-A task multiplies a block of queries with a part of the elements and keeps the best of each query, and the partial results are
-merged: a partial and a final top k, and no pair of rows is ever materialized. A query set of no
-more than ``QUERY_BLOCK`` rows is sent to all tasks; a larger one stays distributed: blocks of
+A task multiplies its queries with a part of the elements, tile by tile, and keeps the best of each query, and the partial
+results are merged: a partial and a final top k, and no pair of rows is ever materialized. A query set of no
+more than ``QUERY_BYTES`` is sent to all tasks; a larger one stays distributed: blocks of
 queries and parts of the elements meet in one task for each pair of them. Vectors of any length are compared by
 their cosine, a zero vector has distance 1 to everything; ties are ordered by id.
 Null ids and vectors take no part.
@@ -23,8 +23,14 @@ from pyspark.sql import functions as F
 from vecloom.functions import vector as V
 from vecloom.session import default_parallelism, spread
 
-#: Queries that are sent to all tasks, and queries of a block where there are more.
+#: Queries that are sent to all tasks without being counted.
 QUERY_BLOCK = 8192
+#: Bytes of the vectors and lists of the queries that a task holds: more queries than that are divided into blocks.
+QUERY_BYTES = 64 << 20
+#: Queries and elements of a tile, and elements after which lists are brought up to date, at first and at most.
+TILE, CHUNK, FIRST, STEP = 256, 2048, 64, 16384
+#: Numbers of the vectors that are gathered at once.
+GATHERED = 1 << 22
 #: Decimals at which distances are compared: equal vectors tie, whatever the order of addition.
 DIGITS = 9
 
@@ -47,14 +53,11 @@ def asked(queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
 
 
-def few_queries(queries: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Ids and vectors of ``(id, vec)``, or None if there are more than ``block``."""
-    t = queries.limit(block + 1).toArrow()
-    if t.num_rows > block:
-        return None
-    vecs = t.column("vec").combine_chunks()
+def _held(queries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of ``(id, vec)``."""
+    vecs = queries.column("vec").combine_chunks()
     vecs = pa.concat_arrays(vecs.chunks) if isinstance(vecs, pa.ChunkedArray) else vecs
-    return t.column("id").to_numpy(), matrix(vecs, len(vecs[0])) if t.num_rows else np.empty((0, 0))
+    return queries.column("id").to_numpy(), matrix(vecs, len(vecs[0])) if queries.num_rows else np.empty((0, 0))
 
 
 def cosine_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -62,41 +65,116 @@ def cosine_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum(0, 1 - unit(q) @ unit(x).T)
 
 
-def _partial(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+class _Best:
+    """The k nearest of the elements so far for each query, by (distance, id).
+
+    Cosines are worked out in single precision first; what may be among the k nearest, with the greatest
+    error that such a cosine can have, is compared in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None):
+        self.ids, self.k, self.exclude_self, self.distance = ids, k, exclude_self, distance
+        self.q = q if distance else unit(q)
+        self.screen = None if distance else self.q.astype("f4")
+        self.blind = np.zeros(len(q), bool) if distance else ~q.any(axis=1)
+        self.slack = (q.shape[1] + 8) * 2.0**-23 + 10.0 ** (1 - DIGITS)
+        self.d = np.full((len(q), k), np.inf)
+        self.i = np.full((len(q), k), np.iinfo("i8").max)
+        self.seen = 0
+        self.cosine, self.passed = np.empty(TILE * CHUNK, "f4"), np.empty(TILE * CHUNK, bool)  # written to again and again
+
+    def add(self, own: np.ndarray, x: np.ndarray) -> None:
+        x = x if self.distance else unit(x)
+        while len(own):
+            n = min(max(FIRST, self.seen), STEP)  # few at first: the limits are not yet narrow
+            some, at = x[:n], own[:n]
+            screen = None if self.distance else some.astype("f4")
+            for low in range(0, len(self.ids), TILE):
+                self._tile(slice(low, low + TILE), at, some, screen)
+            self.seen += len(at)
+            own, x = own[n:], x[n:]
+
+    def _tile(self, rows: slice, own: np.ndarray, x: np.ndarray, screen: np.ndarray | None) -> None:
+        last, last_id = self.d[rows, -1], self.i[rows, -1]
+        # a query without direction is as far from everything: only smaller ids matter
+        floor = np.where(self.blind[rows] & (own.min() > last_id), np.inf, 1 - last - self.slack).astype("f4")[:, None]
+        found = []
+        for at in range(0, len(own), CHUNK):
+            part = slice(at, at + CHUNK)
+            if self.distance:
+                near = np.round(self.distance(self.q[rows], x[part]), DIGITS)
+                r, c = np.divmod(_true(near <= last[:, None]), near.shape[1])
+                dist = near[r, c]
+            else:
+                r, c, dist = self._screened(rows, x[part], screen[part], floor)
+            ids = own[at + c]
+            better = (dist < last[r]) | ((dist == last[r]) & (ids < last_id[r]))
+            if self.exclude_self:
+                better &= ids != self.ids[rows][r]
+            if better.any():
+                found.append((r[better], dist[better], ids[better]))
+        if found:
+            self._keep(rows, *(np.concatenate(a) for a in zip(*found, strict=True)))
+
+    def _screened(self, rows: slice, x: np.ndarray, screen: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries and elements that may be near, by place, and their distances."""
+        q = self.q[rows]
+        shape = len(q), len(x)
+        cosine, passed = (a[: shape[0] * shape[1]].reshape(shape) for a in (self.cosine, self.passed))
+        np.matmul(self.screen[rows], screen.T, out=cosine)
+        flat = _true(np.greater_equal(cosine, floor, out=passed))
+        r, c = np.divmod(flat, cosine.shape[1])
+        if len(flat) > cosine.size // 16:
+            exact = (q @ x.T).ravel()[flat]
+        else:
+            step = max(1, GATHERED // max(1, q.shape[1]))
+            exact = np.concatenate([np.einsum("ij,ij->i", q[r[a : a + step]], x[c[a : a + step]]) for a in range(0, max(1, len(flat)), step)])
+        return r, c, np.round(np.maximum(0, 1 - exact), DIGITS)
+
+    def _keep(self, rows: slice, r: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        changed, place = np.unique(r, return_inverse=True)
+        d, i = self.d[rows], self.i[rows]  # views
+        place = np.concatenate([np.repeat(np.arange(len(changed)), self.k), place])
+        dist, ids = np.concatenate([d[changed].ravel(), dist]), np.concatenate([i[changed].ravel(), ids])
+        order = np.lexsort((ids, dist, place))
+        start = np.searchsorted(place[order], np.arange(len(changed)))
+        best = order[start[:, None] + np.arange(self.k)]
+        d[changed], i[changed] = dist[best], ids[best]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.ids), QUERY_BLOCK):
+            d, i = self.d[at : at + QUERY_BLOCK], self.i[at : at + QUERY_BLOCK]
+            good = np.isfinite(d)
+            if good.any():
+                yield pa.record_batch([pa.array(np.broadcast_to(self.ids[at : at + QUERY_BLOCK, None], d.shape)[good]), pa.array(i[good]), pa.array(d[good])], names=["query_id", "id", "dist"])
+
+
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Places in the flat mask that are true, few of them: eight at a time."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view("u8"))
+    a, b = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[a] * 8 + b
+
+
+def _partial(asked_of: Callable[[], tuple[np.ndarray, np.ndarray]], k: int, exclude_self: bool, distance: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    own_distance = None if distance is cosine_distance else distance
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(q), 0), np.inf)
-        best_i = np.full((len(q), 0), -1, "i8")
+        best = None
         for b in batches:
             if not b.num_rows:
                 continue
-            own = b.column(0).to_numpy()
-            x = matrix(b.column(1), q.shape[1])
-            for at in range(0, len(own), 4096):
-                d = np.round(distance(q, x[at : at + 4096]), DIGITS)
-                i = np.broadcast_to(own[at : at + 4096], d.shape)
-                if exclude_self:
-                    d = np.where(i == ids[:, None], np.inf, d)
-                d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1)
-                order = np.lexsort((i, d), axis=1)[:, :k] if d.shape[1] <= 4 * k else _top(d, i, k)
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        good = np.isfinite(best_d)
-        if good.any():
-            yield pa.record_batch([pa.array(np.broadcast_to(ids[:, None], best_d.shape)[good]), pa.array(best_i[good]), pa.array(best_d[good])], names=["query_id", "id", "dist"])
+            best = best or _Best(*asked_of(), k, exclude_self, own_distance)
+            best.add(b.column(0).to_numpy(), matrix(b.column(1), best.q.shape[1]))
+        if best:
+            yield from best.rows()
 
     return run
 
 
-def _top(d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least by (distance, id); ties at the border are settled by id."""
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    held = d <= kth
-    width = int(held.sum(1).max())
-    some = np.argsort(~held, axis=1, kind="stable")[:, :width]
-    dd = np.where(np.take_along_axis(held, some, 1), np.take_along_axis(d, some, 1), np.inf)
-    order = np.lexsort((np.take_along_axis(i, some, 1), dd), axis=1)[:, :k]
-    return np.take_along_axis(some, order, 1)
-
-
 def merged_top(partial: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, id, dist)``: the k best by (distance, id) of partial results."""
     best = partial.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "id"))), 1, k).alias("top"))
@@ -111,24 +189,28 @@ def knn(queries: DataFrame, elements: DataFrame, k: int, query_id: str = "id", q
     """
     rows = elements.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
     wanted = asked(queries, query_id, query_vec)
-    few = few_queries(wanted, QUERY_BLOCK)
     kind = "query_id long, id long, dist double"
-    if few is None:
-        parts = _in_blocks(wanted, rows, QUERY_BLOCK).mapInArrow(_blockwise(k, exclude_self, distance), kind)
-    elif len(few[0]):
-        parts = spread(rows).mapInArrow(_partial(*few, k, exclude_self, distance), kind)
+    some = wanted.limit(QUERY_BLOCK + 1).toArrow()
+    if some.num_rows > QUERY_BLOCK:
+        n, block = wanted.count(), max(1, QUERY_BYTES // (8 * len(some.column("vec")[0]) + 16 * k))
+        if n > block:
+            return merged_top(_in_blocks(wanted, rows, math.ceil(n / block)).mapInArrow(_blockwise(k, exclude_self, distance), kind), k)
+        some = wanted.toArrow()
+    if some.num_rows:
+        sent = queries.sparkSession.sparkContext.broadcast(_held(some))
+        # each task gives k rows a query, so there are no more tasks than run at once
+        parts = spread(rows).coalesce(default_parallelism(queries.sparkSession)).mapInArrow(_partial(lambda: sent.value, k, exclude_self, distance), kind)
     else:
         parts = elements.sparkSession.createDataFrame([], kind)
     return merged_top(parts, k)
 
 
-def _in_blocks(queries: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+def _in_blocks(queries: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
     """``(unit, element, id, vec)``: each block of queries with each part of the elements in a partition of its own, queries first.
 
     Elements are sent once for each block of queries, queries once for each part of the elements; there are as many
     parts as keep the cluster busy.
     """
-    blocks = max(1, math.ceil(queries.count() / block))
     parts = max(1, math.ceil(2 * default_parallelism(queries.sparkSession) / blocks))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n")
     asked_of = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), numbers(parts), "id", "vec").select("block", F.col("n").alias("part"), F.lit(False).alias("element"), "id", "vec")
@@ -159,7 +241,7 @@ def _blockwise(k: int, exclude_self: bool, distance: Callable[[np.ndarray, np.nd
         ids = np.concatenate([h.column("id").to_numpy() for h in held])
         dim = len(held[0].column("vec")[0])
         q = np.concatenate([matrix(h.column("vec"), dim) for h in held])
-        yield from _partial(ids, q, k, exclude_self, distance)(itertools.chain([start], rest))
+        yield from _partial(lambda: (ids, q), k, exclude_self, distance)(itertools.chain([start], rest))
 
     return run
 

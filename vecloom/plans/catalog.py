@@ -423,13 +423,14 @@ z AS (SELECT id, unnest(range(n)) AS pos FROM t, dim),
 sums AS (SELECT z.id, z.pos, coalesce(value, 0.0) AS value FROM z LEFT JOIN g ON g.id = z.id AND g.pos = z.pos)"""
 
 
-def _dim(dictionary: DataFrame) -> int:
-    return dictionary.agg(F.max(F.size("vec"))).first()[0] or 0
+def _dim(spark: SparkSession, sf: str) -> int:
+    """The length of the longest vector of the dictionary; where all rows agree, no row is moved."""
+    least, most = table(spark, sf, "dict").where("vec is not null").agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    return (most if least == most else _dictionary(spark, sf).agg(F.max(F.size("vec"))).first()[0]) or 0
 
 
 def _sums(spark, sf) -> DataFrame:
-    d = _dictionary(spark, sf)
-    return E.sum_embeddings(_terms(spark, sf), d, _dim(d))
+    return E.sum_embeddings(_terms(spark, sf), _dictionary(spark, sf), _dim(spark, sf))
 
 
 @_query(f"WITH {_SUMS} SELECT id, CAST(pos AS INTEGER) AS pos, round(value, 5) AS value FROM sums")
@@ -439,8 +440,8 @@ def sum_embedding_long(spark, sf):
 
 @_query(f"WITH {_SUMS}, e AS (SELECT id, list(value ORDER BY pos) AS vec FROM sums GROUP BY id), {_knn_sql('e')}")
 def sum_embedding_knn(spark, sf):
-    e = _sums(spark, sf)
-    return _ranked(exact.knn(_asked(e), e, 10))
+    terms, sums = _terms(spark, sf), E.summing(_dictionary(spark, sf), _dim(spark, sf))
+    return _ranked(exact.knn(sums(_asked(terms)), sums(terms), 10))
 
 
 @_query(f"""WITH {_TERMS}, {_DICT}, p AS (SELECT id, unnest(term_ids) AS term, unnest(range(len(term_ids))) AS pos FROM t),
@@ -458,8 +459,7 @@ top AS (SELECT id, raw, list_max(list_transform(raw, lambda x: abs(x))) AS m FRO
 SELECT id, CAST(unnest(range(len(raw))) AS INTEGER) AS pos,
   unnest(list_transform(raw, lambda x: CASE WHEN m > 0 THEN CAST(trunc(CAST(CAST(x * 127::FLOAT AS FLOAT) / m AS FLOAT)) AS TINYINT) ELSE 0::TINYINT END)) AS value FROM top""")
 def quantized_sum_long(spark, sf):
-    d = _dictionary(spark, sf)
-    return _long(E.quantized_sums(_terms(spark, sf), d, _dim(d)), "value")
+    return _long(E.quantized_sums(_terms(spark, sf), _dictionary(spark, sf), _dim(spark, sf)), "value")
 
 
 # --- the layered index ------------------------------------------------------------------
